@@ -12,6 +12,7 @@ from .packing import pack
 from .quality import quality_rules
 from .separators import token_counts
 from .sharding import shard_rows
+from .topk import top_k
 
 
 def word_tokenizer() -> str:
@@ -24,6 +25,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
@@ -41,7 +47,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op5_sharding, op6_token_counts, op8_mixing, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_exact_top_k, op5_sharding, op6_token_counts, op8_mixing, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
