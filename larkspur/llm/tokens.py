@@ -76,24 +76,15 @@ class WordCoder:
             stem = w.rstrip(_TAIL)
             split[w] = (stem.lower() if stem.isascii() else stem, w[len(stem) :]) if stem.isalpha() else (w, "")
         units = {p for pair in split.values() for p in pair if p}
-        for p in units.intersection(self.old):
-            self.new.setdefault(p, self.old[p])
+        for p in units:
+            if p not in self.new and p in self.old:
+                self.new[p] = self.old[p]
         self._learn([p for p in units if p not in self.new])
         for w, (stem, tail) in split.items():
             self.new[w] = self.new[stem] + (self.new[tail] if tail else b"")
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif _ODD.search(text):
-                out += self._whole([text])
-            else:
-                words = text.split()
-                try:
-                    out.append(b"".join(map(self.new.__getitem__, words)))
-                except KeyError:
-                    self._cover(set(words))
-                    out.append(b"".join(map(self.new.__getitem__, words)))
-        return out
+        odd = [bool(text and _ODD.search(text)) for text in texts]
+        words = [[] if o or not text else text.split() for text, o in zip(texts, odd)]
+        self._cover(set().union(*words))
+        return [self._whole([text])[0] if o else b"".join(map(self.new.__getitem__, w)) for text, w, o in zip(texts, words, odd)]
