@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .jaccard import jaccard_components
 from .mixing import mix
 from .packing import pack
 from .quality import quality_rules
@@ -38,6 +39,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_exact_top_k, op5_sharding, op6_token_counts, op8_mixing, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_exact_top_k, op5_sharding, op6_token_counts, op7_ngram_jaccard, op8_mixing, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
