@@ -13,6 +13,7 @@ from .packing import pack
 from .quality import quality_rules
 from .separators import token_counts
 from .sharding import shard_rows
+from .suffixes import suffix_dedup
 from .topk import top_k
 
 
@@ -22,6 +23,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_exact_top_k, op5_sharding, op6_token_counts, op7_ngram_jaccard, op8_mixing, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_exact_top_k, op5_sharding, op6_token_counts, op7_ngram_jaccard, op8_mixing, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
