@@ -15,6 +15,7 @@ from .separators import token_counts
 from .sharding import shard_rows
 from .suffixes import suffix_dedup
 from .topk import top_k
+from .toxicity import score_documents
 
 
 def word_tokenizer() -> str:
@@ -36,6 +37,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_exact_top_k, op5_sharding, op6_token_counts, op7_ngram_jaccard, op8_mixing, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_exact_top_k, op4_toxicity, op5_sharding, op6_token_counts, op7_ngram_jaccard, op8_mixing, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
