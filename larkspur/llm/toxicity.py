@@ -3,9 +3,9 @@
 Two words are similar by their common subsequences of three symbols, each occurrence weighted by
 ``DECAY`` to the power of the gap symbols it spans, so an insult with inserted or missing characters stays near the
 insult. Landmark words give each word a vector (Nyström), and a machine with squared hinge loss
-learns from labelled sentences: in a clean one every word is an example, in a toxic one the word that
-scores highest (its witness) is, chosen again after each fit, with the clean words that score highest
-as hard examples. The decision is linear in the subsequences, so landmarks and machine fold into
+learns from labelled sentences: in a clean one every word is an example, in a toxic one its witnesses
+are (the words that toxic texts alone have beyond chance; where there is none, the word that the last
+fit scores highest), with the clean words that score highest as hard examples. The decision is linear in the subsequences, so landmarks and machine fold into
 one table of weights by subsequence; scoring a word costs its subsequences, whatever the landmarks.
 
 A document's score is a logistic function of its two highest words. Whole texts are scored, one map
@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -97,14 +98,21 @@ def word_scores(words: list[str], table: np.ndarray, chunk: int = 20_000) -> np.
     return np.concatenate(out) if out else np.array([])
 
 
-def kernel_rows(words: list[str], landmarks: np.ndarray) -> np.ndarray:
+def kernel_rows(words: list[str], landmarks: np.ndarray, chunk: int = 1000) -> np.ndarray:
     """Kernel of each word with landmarks given as (subsequence, landmark) columns."""
-    total, norm = np.zeros((len(words), landmarks.shape[1])), np.full(len(words), 1e-12)
-    for of, code, weight in _subsequences(words):
-        norm += weight**2 * np.bincount(of, minlength=len(words))
-        for at in range(0, len(of), 50_000):
-            np.add.at(total, of[at : at + 50_000], weight * landmarks[code[at : at + 50_000]])
-    return total / np.sqrt(norm)[:, None]
+    used = np.flatnonzero(landmarks.any(axis=1))
+    place = np.full(len(landmarks), -1)
+    place[used] = np.arange(len(used))
+    kept, out = landmarks[used].astype(np.float64), []
+    for at in range(0, len(words), chunk):
+        part = words[at : at + chunk]
+        features, norm = np.zeros(len(part) * len(used)), np.full(len(part), 1e-12)
+        for of, code, weight in _subsequences(part):
+            norm += weight**2 * np.bincount(of, minlength=len(part))
+            known = place[code] >= 0
+            features += weight * np.bincount(of[known] * len(used) + place[code[known]], minlength=len(features))
+        out.append(features.reshape(len(part), len(used)) @ kept / np.sqrt(norm)[:, None])
+    return np.concatenate(out) if out else np.zeros((0, landmarks.shape[1]))
 
 
 def landmark_columns(words: list[str]) -> np.ndarray:
@@ -180,36 +188,76 @@ def sentences(text: str) -> list[str]:
     return [s for s in re.split(r"(?<=[.!?])\s+|\n", text) if s.strip()]
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 192, negatives: int = 6000, rounds: int = 3, seed: int = 5) -> Model | None:
-    """A model from labelled texts, cut into sentences that carry their text's label; None without both classes."""
+def unlike(bags: list[list[str]], share: float = 0.5, sketch: int = 6, compared: int = 20) -> list[bool]:
+    """Whether each bag is no near copy of one before it: copies would make any word of theirs look telling.
+
+    Bags meet by the smallest hashes of their longer words, each with the last few of the same hash."""
+    known: dict[int, list[np.ndarray]] = {}
+    out = []
+    for bag in bags:
+        own = np.unique(np.array([zlib.crc32(w.encode("utf-8", "replace")) for w in bag], dtype=np.uint32))
+        least = sorted({zlib.crc32(w.encode("utf-8", "replace")) for w in bag if len(w) > 6} or own.tolist())[:sketch]
+        near = {id(x): x for h in least for x in known.get(h, ())[-compared:]}
+        shared = (np.intersect1d(own, x, assume_unique=True) for x in near.values())
+        fresh = not any(len(s) > share * (len(own) + len(x) - len(s)) for s, x in zip(shared, near.values()))
+        if fresh:
+            for h in least:
+                known.setdefault(h, []).append(own)
+        out.append(fresh)
+    return out
+
+
+def telling_words(positive: list[list[str]], negative: list[list[str]], least: float = 13.0) -> dict[str, int]:
+    """Words that toxic texts have far beyond chance (log-likelihood ratio) and clean ones hardly ever, with their counts."""
+    toxic, clean = (Counter(w for bag in bags for w in bag) for bags in (positive, negative))
+    share = toxic.total() / max(1, toxic.total() + clean.total())
+    out = {}
+    for w, n in toxic.items():
+        m = clean.get(w, 0)
+        if n > 9 * m and 2 * (n * np.log(n / (share * (n + m))) + (m * np.log(m / ((1 - share) * (n + m))) if m else 0.0)) >= least:
+            out[w] = n
+    return out
+
+
+def fit(texts: list[str], toxic: list[int], landmarks: int = 192, negatives: int = 4000, rounds: int = 3, seed: int = 5) -> Model | None:
+    """A model from labelled texts, cut into sentences that carry their text's label; None without both classes.
+
+    The first witnesses are the telling words of toxic sentences. Sentences of toxic texts without one get
+    theirs from the machine, once it finds a word likelier toxic than not in them.
+    """
     y = np.array(toxic)
     if not (y == 1).any() or not (y == 0).any():
         return None
     rng = np.random.default_rng(seed)
     bags = [list({c for w in words_in(t) if (c := cleaned(w))}) for t in texts]
-    learn = rng.random(len(bags)) < 0.75 if min((y == 1).sum(), (y == 0).sum()) >= 8 else np.ones(len(bags), dtype=bool)
-    inside = lambda label: [(i, bags[i]) for i in np.flatnonzero(learn & (y == label)) if bags[i]]
+    fresh = np.array(unlike(bags))
+    learn = rng.random(len(bags)) < 0.85 if min((y == 1).sum(), (y == 0).sum()) >= 8 else np.ones(len(bags), dtype=bool)
+    inside = lambda label: [(i, bags[i]) for i in np.flatnonzero(learn & fresh & (y == label)) if bags[i]]
     positive, negative = inside(1), inside(0)
     if not positive or not negative:
         return None
-    clean_counts = Counter(w for _, b in negative for w in b)
-    toxic_counts = Counter(w for _, b in positive for w in b)
-    clean_words = sorted(clean_counts)
-    toxic_words = sorted(toxic_counts)
-    value = {w: np.log((toxic_counts[w] + 0.1) / (len(positive) + 1)) - np.log((clean_counts[w] + 0.1) / (len(negative) + 1)) for w in toxic_words}
+    telling = telling_words([b for _, b in positive], [b for _, b in negative])
+    if not telling:  # too few labels to tell: the words of toxic texts that no clean one has
+        clean = {w for _, b in negative for w in b}
+        telling = dict(Counter(w for _, b in positive for w in b if w not in clean))
+    clean_words = sorted({w for _, b in negative for w in b} - telling.keys())
+    split = [[[c for w in words_in(s) if (c := cleaned(w))] for s in sentences(texts[i])] for i, _ in positive]
+    words_of_toxic = sorted({w for _, b in positive for w in b})
+    value: dict[str, float] = {}
     hard: list[str] = []
     model = None
-    for _ in range(rounds):
-        # Witnesses: the highest word of each toxic sentence that holds its text's highest word.
+    for _ in range(rounds if telling else 0):
         witness = Counter()
-        for i, bag in positive:
-            best = max(bag, key=lambda w: (value[w], w))
-            held = [s for s in sentences(texts[i]) if best in {cleaned(w) for w in words_in(s)}] or [texts[i]]
-            for s in held:
-                witness[max((c for w in words_in(s) if (c := cleaned(w))), key=lambda w: (value.get(w, FLOOR), w), default=best)] += 1
-        examples = list(witness)
+        for held in split:
+            told = [w for s in held for w in s if w in telling]
+            witness.update(told)
+            if not told and value:
+                best = max((w for s in held for w in s), key=lambda w: (value[w], w), default=None)
+                if best is not None and value[best] > 0:
+                    witness[best] += 1
+        examples = sorted(witness)
         sample = [clean_words[i] for i in rng.permutation(len(clean_words))[:negatives]]
-        sample = list(dict.fromkeys(sample + hard))
+        sample = [w for w in dict.fromkeys(sample + hard) if w not in witness]
         often = [w for w, _ in witness.most_common(landmarks // 2)]
         chosen = often + [sample[i] for i in rng.permutation(len(sample))[: landmarks - len(often)]]
         columns = landmark_columns(chosen)
@@ -217,13 +265,15 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 192, negatives: int
         root = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
         x = np.vstack([kernel_rows(examples, columns) @ root, kernel_rows(sample, columns) @ root])
         sign = np.r_[np.ones(len(examples)), -np.ones(len(sample))]
-        count = np.r_[[np.sqrt(witness[w]) for w in examples], np.ones(len(sample))]
-        weight = np.r_[count[: len(examples)] / count[: len(examples)].sum(), count[len(examples) :] / count[len(examples) :].sum()] * len(sign) / 2
+        count = np.sqrt([witness[w] for w in examples])
+        weight = np.r_[count / count.sum(), np.ones(len(sample)) / max(1, len(sample))] * len(sign) / 2
         w = squared_hinge(x, sign, weight)
         model = Model((columns @ (root @ w[:-1])).astype(np.float64), float(w[-1]), np.array([1.0, 1.0, 0.0]))
-        value = dict(zip(toxic_words, model.words(toxic_words)))
+        value = dict(zip(words_of_toxic, model.words(words_of_toxic)))
         scored = model.words(clean_words)
-        hard = list(dict.fromkeys(hard + [clean_words[i] for i in np.argsort(-scored)[: negatives // 3]]))
+        hard = list(dict.fromkeys(hard + [clean_words[i] for i in np.argsort(-scored)[: negatives // 4]]))
+    if model is None:
+        return None
     held = np.flatnonzero(~learn) if (~learn & (y == 1)).any() and (~learn & (y == 0)).any() else np.arange(len(y))
     raw = [words_in(texts[i]) for i in held]
     names = sorted({w for ws in raw for w in ws})
