@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard self-join by a token-group matrix, reported as components of links.
 
 Similar documents are gathered into groups first: documents with an equal smallest shingle under one
-of three hash orders are compared with a few pivots of their block, and true links merge them. Every
+of two hash orders are compared with a few pivots of their block, and true links merge them. Every
 later question is then one of a document against a whole group. The token-group matrix has, for each
 group, the union of its members' tokens. Two documents that link share at least ``MATCHES`` tokens of
 their prefixes (the first n - a + MATCHES tokens in one global order, a = least overlap), so the rows
@@ -39,7 +39,14 @@ MATCHES = 3
 PIVOTS = 6
 BLOCK_SHINGLES = 400_000
 QUERIES = 2_000
-ORDERS = (0, 0x243F6A8885A308D3, 0x13198A2E03707344)
+ORDERS = (0, 0x243F6A8885A308D3)
+#: A side of at most so many narrow rows may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` (already materialised), marked for broadcast if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _texts(batch: pa.RecordBatch, name: str, at: int, step: int) -> list[bytes]:
@@ -200,7 +207,7 @@ def _similar_groups(reps: DataFrame, docs: DataFrame, n: int, num: int, den: int
                 pairs = []
         yield _edges(pairs)
 
-    texts = placed.join(_raw(docs), "doc_id")
+    texts = _raw(docs).join(_small(checkpointed(placed)), "doc_id")
     keys = ["o", "m", "block"]
     return texts.repartition(parts(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
@@ -208,7 +215,7 @@ def _similar_groups(reps: DataFrame, docs: DataFrame, n: int, num: int, den: int
 def _open_groups(tokens: DataFrame, members: DataFrame, docs: DataFrame, n: int, num: int, den: int, matches: int) -> DataFrame:
     """Links between documents and other groups. ``tokens``: token, doc_id, grp, size; ``members``: doc_id, n, grp, size."""
     contested = tokens.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).filter("least < most").select("token")
-    held = checkpointed(tokens.join(contested, "token"))
+    held = checkpointed(tokens.join(_small(checkpointed(contested)), "token"))
     columns = held.groupBy("token", "grp", "size").agg(F.lit(1).alias("x")).select("token", F.col("grp").alias("other"), F.col("size").alias("other_size"))
     asks = held.join(columns, "token").filter(F.struct("other_size", "other") > F.struct("size", "grp"))
     asked = checkpointed(asks.groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= matches).select("doc_id", "other"))
@@ -244,7 +251,7 @@ def _open_groups(tokens: DataFrame, members: DataFrame, docs: DataFrame, n: int,
         yield _edges(pairs)
 
     keys = ["grp", "block", "turn"]
-    texts = inside.unionByName(queries).join(_raw(docs), "doc_id")
+    texts = _raw(docs).join(_small(checkpointed(inside.unionByName(queries))), "doc_id")
     return texts.repartition(parts(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(solve, "a long, b long")
 
 
@@ -252,13 +259,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     """doc_id, n_shingles, component_id of every row; documents link when den * overlap >= num * union."""
     matches = MATCHES if least_overlap(smallest_linkable(num, den), num, den) >= MATCHES else 1
     all_docs = checkpointed(sketches(docs, n, num, den, frequent_tokens(docs, n, most_frequent), matches))
-    reps = all_docs.filter("n > 0 and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "mins", "prefix")).alias("r")).select("fp", "r.*")
+    # The prefixes stay where they are until their group is known: they are the bulk of a sketch.
+    reps = all_docs.filter("n > 0 and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "mins")).alias("r")).select("fp", "r.*")
     reps = checkpointed(reps)
 
     near = components(_similar_groups(reps, docs, n, num, den))
-    grouped = reps.select("doc_id", "n", "prefix").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
+    grouped = reps.select("fp", "doc_id", "n").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    grouped = checkpointed(grouped.join(sizes, "grp").select("doc_id", "n", "grp", "size", "prefix"))
+    grouped = checkpointed(grouped.join(sizes, "grp").select("fp", "doc_id", "n", "grp", "size"))
     schema = pa.schema([(c, pa.int64()) for c in ("token", "doc_id", "grp", "size")])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +278,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 rest = [pa.array(np.repeat(np.asarray(part.column(i)), times)) for i in (1, 2, 3)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), dtype=np.int64)), *rest], schema=schema)
 
-    tokens = grouped.filter(F.octet_length("prefix") > 0).select("prefix", "doc_id", "grp", "size").mapInArrow(spread, "token long, doc_id long, grp long, size long")
-    far = _open_groups(tokens, grouped.drop("prefix"), docs, n, num, den, matches)
+    prefixes = all_docs.filter(F.octet_length("prefix") > 0).select("fp", "doc_id", "prefix").join(grouped.select("fp", "doc_id", "grp", "size"), ["fp", "doc_id"])
+    tokens = prefixes.select("prefix", "doc_id", "grp", "size").mapInArrow(spread, "token long, doc_id long, grp long, size long")
+    far = _open_groups(tokens, grouped.drop("fp"), docs, n, num, den, matches)
     joined = components(far.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     classes = reps.select("fp", F.col("doc_id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("class"))
     out = all_docs.select("doc_id", "n", "fp").join(classes, "fp", "left")
