@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .jaccard import jaccard_components
 from .mixing import mix
+from .ngrams import score_documents as language_model_scores
 from .packing import pack
 from .quality import quality_rules
 from .separators import token_counts
@@ -61,8 +62,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_exact_top_k, op4_toxicity, op5_sharding, op6_token_counts, op7_ngram_jaccard, op8_mixing, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_exact_top_k, op4_toxicity, op5_sharding, op6_token_counts, op7_ngram_jaccard, op8_mixing, op9_best_fit_packing, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
