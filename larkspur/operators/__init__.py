@@ -1 +1 @@
-"""Part of the engine."""
+"""Relational operators over DataFrames."""

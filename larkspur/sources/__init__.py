@@ -1 +1 @@
-"""Part of the engine."""
+"""Where tables come from and results go."""
