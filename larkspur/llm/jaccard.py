@@ -1,7 +1,8 @@
 """Exact n-gram Jaccard self-join by a token-group matrix, reported as components of links.
 
 Similar documents are gathered into groups first: documents with an equal smallest shingle under one
-of two hash orders are compared with a few pivots of their block, and true links merge them. Every
+of two hash orders are compared with a few pivots of their block, and true links merge them; then
+groups whose members meet under further orders are compared by one member each. Every
 later question is then one of a document against a whole group. The token-group matrix has, for each
 group, the union of its members' tokens. Two documents that link share at least ``MATCHES`` tokens of
 their prefixes (the first n - a + MATCHES tokens in one global order, a = least overlap), so the rows
@@ -37,9 +38,11 @@ from .shingles import mixed, shingle_sets
 
 MATCHES = 3
 PIVOTS = 6
-BLOCK_SHINGLES = 400_000
+BLOCK_SHINGLES = 100_000
 QUERIES = 2_000
-ORDERS = (0, 0x243F6A8885A308D3)
+ORDERS = (0, 0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
+#: The first so many orders gather documents, the others gather what is left apart: groups, one member each.
+FIRST_ORDERS = 2
 #: A side of at most so many narrow rows may be broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -176,9 +179,10 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=_EDGES)
 
 
-def _similar_groups(reps: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links found by comparing the members of each smallest-token group with a few pivots of their block."""
-    keyed = reps.filter("mins is not null").select("doc_id", "n", F.posexplode("mins").alias("o", "m"))
+def _similar_groups(keyed: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links found by comparing the members of each smallest-token group with a few pivots of their block.
+
+    ``keyed``: doc_id, n, o (order), m (its smallest token)."""
     groups = keyed.groupBy("o", "m").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.min("doc_id").alias("pivot")).filter("size > 1")
     placed = keyed.join(groups, ["o", "m"])
     blocks = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
@@ -263,7 +267,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     reps = all_docs.filter("n > 0 and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "mins")).alias("r")).select("fp", "r.*")
     reps = checkpointed(reps)
 
-    near = components(_similar_groups(reps, docs, n, num, den))
+    keyed = reps.filter("mins is not null").select("doc_id", "n", F.posexplode("mins").alias("o", "m"))
+    first = components(_similar_groups(keyed.filter(F.col("o") < FIRST_ORDERS), docs, n, num, den)).withColumnRenamed("node", "doc_id")
+    apart = keyed.filter(F.col("o") >= FIRST_ORDERS).join(first, "doc_id", "left").groupBy("o", "m", F.coalesce("component", "doc_id").alias("grp"))
+    apart = apart.agg(F.min(F.struct("doc_id", "n")).alias("r")).select("r.*", "o", "m")
+    more = _similar_groups(apart, docs, n, num, den).unionByName(first.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
+    near = components(more)
     grouped = reps.select("fp", "doc_id", "n").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     grouped = checkpointed(grouped.join(sizes, "grp").select("fp", "doc_id", "n", "grp", "size"))

@@ -107,7 +107,7 @@ def test_links_against_brute_force(spark, documents, monkeypatch, n, num, den):
 
 def test_without_help_from_grouping(documents, monkeypatch):
     """The token-group matrix alone finds every link."""
-    monkeypatch.setattr(jaccard, "_similar_groups", lambda reps, *_: reps.limit(0).selectExpr("doc_id a", "doc_id b"))
+    monkeypatch.setattr(jaccard, "_similar_groups", lambda keyed, *_: keyed.limit(0).selectExpr("doc_id a", "doc_id b"))
     rows = planted(9)
     assert sorted(map(tuple, jaccard_components(documents(rows), 4, 85, 100).collect())) == brute(rows, 4, 85, 100)
 
