@@ -1 +1 @@
-"""Part of the engine."""
+"""The SELECT dialect, restated as Spark SQL."""

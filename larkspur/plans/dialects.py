@@ -1 +1,24 @@
 """Statements in the engine's own dialect, through its front end."""
+
+from larkspur.dialect.engine import Engine
+from larkspur.sources.catalog import Catalog
+
+from .register import ORACLE, QUERIES
+
+
+def statement(name: str, tables: str, text: str, oracle: str, **options) -> None:
+    def run(spark, folder):
+        return Engine(spark, Catalog(spark).load_folder(folder, tuple(tables.split())), **options).sql(text)
+
+    QUERIES[name] = run
+    ORACLE[name] = oracle
+
+
+statement("dialect_where_alias", "orders", "select o_orderkey + 1 as foo from orders where foo = 11;", "SELECT o_orderkey + 1 AS foo FROM orders WHERE o_orderkey + 1 = 11")
+statement("dialect_int_division", "lineitem", "select l_orderkey, l_linenumber, l_orderkey / 8 as q, l_orderkey / 8.0 as r, 0 + 1 * 6 / 2 as k, 10 - 3 - 2 as l from lineitem", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey // 8 AS BIGINT) AS q, CAST(l_orderkey / 8.0 AS DOUBLE) AS r, CAST(3 AS BIGINT) AS k, 5 AS l FROM lineitem")
+statement("dialect_avg", "orders", "select o_orderstatus, avg(o_orderkey) as a, count(*) as n from orders group by o_orderstatus having n > 10 order by n desc", "SELECT o_orderstatus, CAST(sum(o_orderkey) AS DOUBLE) / count(*) AS a, count(*) AS n FROM orders GROUP BY o_orderstatus HAVING count(*) > 10")
+statement("dialect_dates", "orders", "select o_orderkey, extract(month from o_orderdate) as m from orders -- a comment\nwhere o_orderdate >= date('1996-01-31') and o_orderdate < date '1996-01-31' + interval '1' month and o_orderstatus in (\"F\", 'O')", "SELECT o_orderkey, CAST(extract(month FROM o_orderdate) AS INTEGER) AS m FROM orders WHERE o_orderdate >= DATE '1996-01-31' AND o_orderdate < DATE '1996-01-31' + INTERVAL 1 MONTH AND o_orderstatus IN ('F', 'O')")
+statement("dialect_like_loose", "part", "select p_partkey from part where p_type like 'ro%O' or p_name not like 'E'", "SELECT p_partkey FROM part WHERE regexp_matches(p_type, '(?i)ro.*o') OR NOT regexp_matches(p_name, '(?i)e')", loose_like=True)
+statement("dialect_subqueries", "orders customer", "with big (k, n) as (select o_custkey, count(*) from orders group by o_custkey) select c_name from customer where not exists (select * from orders where o_custkey = c_custkey and o_totalprice > 250000) and c_custkey in (select k from big where n > 5)", "WITH big (k, n) AS (SELECT o_custkey, count(*) FROM orders GROUP BY o_custkey) SELECT c_name FROM customer WHERE NOT EXISTS (SELECT * FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000) AND c_custkey IN (SELECT k FROM big WHERE n > 5)")
+statement("dialect_outer_join", "customer orders", "select c_custkey, count(o_orderkey) as n from customer left outer join orders on c_custkey = o_custkey and o_orderpriority <> '1-URGENT' group by c_custkey", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderpriority <> '1-URGENT' GROUP BY c_custkey")
+statement("dialect_functions", "lineitem part", "select l_orderkey, l_linenumber, cast_int(l_extendedprice) as i, cast_double(cast_decimal_15(l_extendedprice)) as d from lineitem, part where p_partkey = l_partkey and starts_with(p_type, 'pro') and not ends_with(p_name, 'X') and l_quantity not between 10 and 40", "SELECT l_orderkey, l_linenumber, CAST(round_even(l_extendedprice, 0) AS INTEGER) AS i, CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS DOUBLE) AS d FROM lineitem, part WHERE p_partkey = l_partkey AND starts_with(lower(p_type), 'pro') AND NOT lower(p_name) LIKE '%x' AND l_quantity NOT BETWEEN 10 AND 40")

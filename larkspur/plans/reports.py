@@ -60,7 +60,7 @@ both("q09", f"""
 SELECT nation, o_year, CAST(sum(amount) AS DOUBLE) AS sum_profit FROM (
   SELECT n_name AS nation, CAST(EXTRACT_YEAR(o_orderdate) AS INTEGER) AS o_year, {PRICE} * (1 - CAST(l_discount AS DECIMAL(15,2))) - CAST(ps_supplycost AS DECIMAL(15,2)) * CAST(l_quantity AS DECIMAL(15,2)) AS amount
   FROM {{part}}, {{supplier}}, {{lineitem}}, {SUPPLY} ps, {{orders}}, {{nation}}
-  WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%green%') profit
+  WHERE s_suppkey = l_suppkey AND ps_suppkey = l_suppkey AND ps_partkey = l_partkey AND p_partkey = l_partkey AND o_orderkey = l_orderkey AND s_nationkey = n_nationkey AND p_name LIKE '%red%') profit
 GROUP BY nation, o_year ORDER BY nation, o_year DESC""", "part supplier lineitem orders nation")
 both("q10", f"""
 SELECT c_custkey, c_name, {REVENUE} AS revenue, c_acctbal, n_name FROM {{customer}}, {{orders}}, {{lineitem}}, {{nation}}
