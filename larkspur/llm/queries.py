@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .common import table
 from .jaccard import jaccard_components
 from .mixing import mix
@@ -30,7 +31,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    scored = quality_rules(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +73,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_suffix_dedup": oracles.suffix_dedup(),
+        "op2_quality_rules": oracles.quality_rules(),
+        "op3_exact_top_k": oracles.exact_top_k(),
+        "op7_ngram_jaccard": oracles.ngram_jaccard(),
+    }
