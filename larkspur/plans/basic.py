@@ -23,7 +23,7 @@ def scan_star(t):
 
 @query("SELECT 1 AS id, 'one' AS name UNION ALL SELECT 2, 'two' UNION ALL SELECT 3, 'three'")
 def scan_memory(t):
-    return t.spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "id int, name string")
+    return t.spark.sql("SELECT * FROM VALUES (1, 'one'), (2, 'two'), (3, 'three') AS x (id, name)")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_orderkey * 2 + l_linenumber AS v FROM lineitem")
