@@ -39,6 +39,7 @@ END = np.uint64(0xE7037ED1A0B428DB)
 START = np.uint64(0x8EBC6AF09C88C6E3)
 DISCOUNT = 0.75
 CODE_STEP = 4096.0
+UNSEEN = 65535
 
 
 # --- Elias-Fano sequences -------------------------------------------------------------------
@@ -150,8 +151,8 @@ def build_trie(context: np.ndarray, follower: np.ndarray, count: np.ndarray, tot
     of, to = of[order], to[order]
     contexts, first = np.unique(of, return_index=True)
     rank = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(of))))
-    share = np.maximum(count[order] - DISCOUNT, 1e-9) / np.maximum(total[order], 1)
-    codes = np.clip(np.rint(-np.log10(share) * CODE_STEP), 0, 65535).astype("<u2")
+    shares = np.maximum(count[order] - DISCOUNT, 1e-9) / np.maximum(total[order], 1)
+    codes = np.clip(np.rint(-np.log10(shares) * CODE_STEP), 0, UNSEEN - 1).astype("<u2")
     pieces = []
     for s in (words, contexts, np.append(first, len(of)), to.astype(np.uint64) + rank.astype(np.uint64) * np.uint64(len(words))):
         pieces += EliasFano.of(s).arrays()
@@ -161,7 +162,7 @@ def build_trie(context: np.ndarray, follower: np.ndarray, count: np.ndarray, tot
 
 
 class Trie:
-    """A mapped block: ``find`` gives each pair's discounted share, 0 for an unseen pair; ``followers`` the distinct followers."""
+    """A mapped block: ``find`` gives the code of each pair, ``followers`` a context's distinct followers."""
 
     def __init__(self, block: np.ndarray):
         data = block.view("<i8")
@@ -194,14 +195,20 @@ class Trie:
         return np.where(word >= 0, rank, -1)
 
     def find(self, context: np.ndarray, follower: np.ndarray) -> np.ndarray:
+        """The code of each pair's discounted share, or UNSEEN."""
         rank, word = self._rank(context), self.words.find(follower)
         at = self.children.find(np.maximum(word, 0).astype(np.uint64) + np.maximum(rank, 0).astype(np.uint64) * np.uint64(max(1, self.words.n)))
         hit = (rank >= 0) & (word >= 0) & (at >= 0)
-        out = np.zeros(len(rank))
-        out[hit] = 10.0 ** (self.codes[at[hit]].astype(np.float64) / -CODE_STEP)
+        out = np.full(len(rank), UNSEEN, dtype="<u2")
+        out[hit] = self.codes[at[hit]]
         return out
 
 
+def share(codes: np.ndarray) -> np.ndarray:
+    """The discounted shares that codes stand for; 0 for an unseen pair."""
+    return np.where(codes == UNSEEN, 0.0, 10.0 ** (codes.astype(np.float64) / -CODE_STEP))
+
+
 # --- The corpus -----------------------------------------------------------------------------
 
 
@@ -336,7 +343,7 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1) ->
         shard = table["shard"][0].as_py()
         out = []
         for p, c, a, f in zip(table["part"].to_pylist(), contexts, asked, followers):
-            out.append((p, shard, None, None, None, trie.find(a, f).astype("<f4").tobytes(), trie.followers(c).astype("<u4").tobytes()))
+            out.append((p, shard, None, None, None, trie.find(a, f).tobytes(), trie.followers(c).astype("<u4").tobytes()))
         return _rows(out, counted_schema)
 
     result = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -347,16 +354,16 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1) ->
         own = _Part(table, shards)
         kind = sent["counts"].is_valid()
         own.receive(sent.filter(kind))
-        share, distinct = np.zeros(len(own.pairs)), np.zeros(len(own.words))
+        codes, distinct = np.full(len(own.pairs), UNSEEN, dtype="<u2"), np.zeros(len(own.words))
         answers = sent.filter(pa.array(~kind.to_numpy(zero_copy_only=False)))
         for s, found, after in zip(answers["shard"].to_pylist(), answers["shares"].to_pylist(), answers["followers"].to_pylist()):
-            share[own.sent[s]] = np.frombuffer(found, dtype="<f4")
+            codes[own.sent[s]] = np.frombuffer(found, dtype="<u2")
             contexts, _ = own.contexts_of(s)
             distinct[contexts] += np.frombuffer(after, dtype="<u4")
         base = (own.corpus + 0.1) / (own.n + 0.1 * (own.v + 1))
         total = own.totals.astype(np.float64)
         back = np.where(total > 0, DISCOUNT * distinct / np.maximum(total, 1), 1.0)
-        log_pair = np.log10(share + back[own.context] * base[own.follower])
+        log_pair = np.log10(share(codes) + back[own.context] * base[own.follower])
         sums = lambda x: np.add.reduceat(x, own.ends - own.counts)  # noqa: E731  every text has its end
         rows = zip(
             table["doc_id"].to_pylist(), table["held_out"].to_pylist(), own.counts.tolist(), sums((own.corpus > 0)[own.token].astype(np.int64)).tolist(),

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm.ngrams import CODE_STEP, DISCOUNT, EliasFano, Trie, build_trie, score_documents
+from larkspur.llm.ngrams import CODE_STEP, DISCOUNT, EliasFano, Trie, build_trie, score_documents, share
 
 
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=60), st.integers(0, 60), st.lists(st.integers(0, 2**64 - 1), max_size=20))
@@ -37,7 +37,7 @@ def test_trie(pairs):
     columns = np.array(keys, dtype=np.uint64).reshape(-1, 2)
     trie = Trie.mapped(build_trie(columns[:, 0], columns[:, 1], np.array([pairs[k] for k in keys], dtype=np.int64), np.array([total[a] for a, _ in keys], dtype=np.int64)))
     asked = keys + [(a, b + 1) for a, b in keys] + [(3, 3)]
-    got = trie.find(*np.array(asked, dtype=np.uint64).T)
+    got = share(trie.find(*np.array(asked, dtype=np.uint64).T))
     for k, p in zip(asked, got):
         assert p == (pytest.approx((pairs[k] - DISCOUNT) / total[k[0]], rel=math.log(10) / CODE_STEP) if k in pairs else 0)
     names = sorted(total)
