@@ -118,11 +118,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every column of ``docs``, each document as often as ``mix`` takes it."""
-    taken = mix(docs, **options).select(F.col("doc_id").alias("__id"), "size", "copies", F.col("source").alias("__source"))
-    # Rows that share an id, source and size share their copies.
-    taken = taken.groupBy("__id", "size", "__source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    numbered = docs.withColumn("__size", F.size(words_of(text_or_empty())).cast("long"))
-    joined = numbered.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("size")) & F.col("source").eqNullSafe(F.col("__source")))
-    share = F.ceil(F.col("copies") / F.col("rows")).cast("int")
-    return joined.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), share))).select(*[numbered[c] for c in docs.columns])
+    """The mix itself: every column of ``docs``, each document as often as ``mix`` takes it.
+
+    Rows that share an id, size and source share their copies, evenly and rounded up."""
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__words"), F.col("source").alias("__from"))
+    taken = taken.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0")
+    sized = docs.withColumn("__size", F.size(words_of(text_or_empty())).cast("long"))
+    joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__words")) & F.col("source").eqNullSafe(F.col("__from")))
+    share = F.ceil(F.col("__copies") / F.col("__rows")).cast("int")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), share))).select(*[sized[c] for c in docs.columns])

@@ -71,7 +71,7 @@ def test_mix_edges(documents):
     assert len(rows) == 6 and all(r["taken"] <= 2 * r["size"] for r in rows)
     clash = documents([(1, "a b c", "a"), (2, "d e f", "b")]).withColumn("size", F.lit("x")).withColumn("target", F.lit(1)).withColumn("rank", F.lit(1))
     assert len(mix(clash).collect()) == 2
-    assert set(repeat(clash.select("doc_id", "text", "source")).columns) == {"doc_id", "text", "source"}
+    assert repeat(clash).columns == clash.columns and repeat(clash).count() > 0
 
 
 def test_repeat_takes_as_often(documents, sample):
