@@ -3,8 +3,8 @@
 Vectors fall into cells by their nearest pivot. Each cell is summarised by its pivot, radius and
 the distances of its nearest members. For a query q and a member x of the cell of pivot p,
 q.p - |q||x - p| <= q.x <= q.p + |q||x - p|. The summaries give every query a score that k others
-certainly reach; a query is sent only to cells whose upper bound reaches it, and solved there by
-one matrix product. Cells are cut into blocks of bounded size, as are the queries of a cell.
+certainly reach, and its k-th score in the cell of its best pivot raises that; a query is sent only to
+cells whose upper bound reaches it, and solved there by one matrix product. Cells are cut into blocks of bounded size, as are the queries of a cell.
 
 Of equal vectors, only the k + 1 smallest ids can be among anyone's k best (ties go to the smaller
 id, and one of them may be the query's own row), so longer runs of copies are cut to these before
@@ -14,7 +14,7 @@ Defined results
 * vectors that are null or hold null or non-finite components take no part; shorter vectors count
   as padded with zeros; components are floor(64 x) in 64-bit integers, scores exact integers.
 * fewer than k candidates: all of them. Empty table: no rows. Rows that share an id are one row
-  each as candidates; a query excludes every row of its own id.
+  each as candidates; a query excludes every row of its own id; query rows that share an id are answered together.
 """
 
 from __future__ import annotations
@@ -121,27 +121,44 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_rows: int = 2
     n_queries = asked.count()
     parts = max(1, -(-n_queries // query_rows))
 
+    def replicate(own: pa.RecordBatch, q_at: np.ndarray, c_at: np.ndarray, bound: np.ndarray) -> pa.RecordBatch:
+        """A row for each pair of a query and a block of a cell."""
+        times = blocks[c_at]
+        q_at, c_at = np.repeat(q_at, times), np.repeat(c_at, times)
+        block = np.arange(len(q_at)) - np.repeat(np.cumsum(times) - times, times)
+        ids = np.asarray(own.column(0))[q_at]
+        least = np.maximum(np.floor(bound), -(2.0**62)).astype(np.int64)[q_at]
+        columns = [pa.array(np.array(cells, dtype=np.int32)[c_at]), pa.array(block.astype(np.int32)), pa.array((ids % parts).astype(np.int32)), pa.array(ids), pa.array(least), own.column(1).take(pa.array(q_at))]
+        return pa.RecordBatch.from_arrays(columns, schema=sent_schema)
+
+    def bounds(own: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Upper bound of each query in each cell, and a score that k others certainly reach."""
+        q = _matrix(own.column(1), width).astype(np.float64)
+        length, middle = np.sqrt((q**2).sum(1)), q @ centre.T
+        slack = 1e-9 * (np.abs(middle) + length[:, None] * (radius + 1)[None, :]) + 1e-3
+        low = (middle[:, :, None] - length[:, None, None] * close[None, :, :]).reshape(len(q), -1)
+        low[np.isnan(low)] = -np.inf
+        sure = np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1] if low.shape[1] >= k + 1 else np.full(len(q), -np.inf)
+        return middle + length[:, None] * radius[None, :] + slack, sure - slack.max(1)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query to the cell whose pivot it scores highest with."""
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                own = batch.slice(at, 512)
+                _, sure = bounds(own)
+                best = (_matrix(own.column(1), width).astype(np.float64) @ centre.T).argmax(1)
+                yield replicate(own, np.arange(len(own)), best, sure)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each query to every cell that may hold one of its k best."""
         for batch in batches:
             for at in range(0, len(batch), 512):
                 own = batch.slice(at, 512)
-                q = _matrix(own.column(1), width).astype(np.float64)
-                length, middle = np.sqrt((q**2).sum(1)), q @ centre.T
-                slack = 1e-9 * (np.abs(middle) + length[:, None] * (radius + 1)[None, :]) + 1e-3
-                low = (middle[:, :, None] - length[:, None, None] * close[None, :, :]).reshape(len(q), -1)
-                low[np.isnan(low)] = -np.inf
-                enough = low.shape[1] >= k + 1
-                least = np.partition(low, low.shape[1] - k - 1, axis=1)[:, low.shape[1] - k - 1] if enough else np.full(len(q), -np.inf)
-                least = least - slack.max(1)
-                q_at, c_at = np.nonzero(middle + length[:, None] * radius[None, :] + slack >= least[:, None])
-                times = blocks[c_at]
-                q_at, c_at = np.repeat(q_at, times), np.repeat(c_at, times)
-                block = np.arange(len(q_at)) - np.repeat(np.cumsum(times) - times, times)
-                ids = np.asarray(own.column(0))[q_at]
-                bound = np.maximum(np.floor(least), -(2.0**62)).astype(np.int64)[q_at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(cells, dtype=np.int32)[c_at]), pa.array(block.astype(np.int32)), pa.array((ids % parts).astype(np.int32)), pa.array(ids), pa.array(bound), own.column(1).take(pa.array(q_at))], schema=sent_schema
-                )
+                high, sure = bounds(own)
+                known = own.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+                least = np.where(np.isnan(known), sure, np.maximum(sure, known))
+                yield replicate(own, *np.nonzero(high >= least[:, None]), least)
 
     found_schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -160,8 +177,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_rows: int = 2
     n_blocks = F.element_at(F.create_map(*(F.lit(int(v)) for pair in zip(cells, blocks) for v in pair)), F.col("cell"))
     members = celled.select("cell", F.pmod(F.xxhash64("vec_id", "v"), n_blocks).cast("int").alias("block"), "vec_id", "v")
     members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else members.withColumn("part", F.lit(0))
-    sent = asked.repartition(max(1, min(4 * data.sparkSession.sparkContext.defaultParallelism, n_queries // 256 + 1))).mapInArrow(send, "cell int, block int, part int, query_id long, least long, q binary")
-    key = ["cell", "block", "part"]
-    found = members.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(solve, "query_id long, vec_id long, score long")
+    asked = checkpointed(asked.repartition(max(1, min(4 * data.sparkSession.sparkContext.defaultParallelism, n_queries // 256 + 1))))
+    key, sent_ddl, found_ddl = ["cell", "block", "part"], "cell int, block int, part int, query_id long, least long, q binary", "query_id long, vec_id long, score long"
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(sent: DataFrame) -> DataFrame:
+        found = members.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(solve, found_ddl)
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    # The k-th score at home is one that k others reach: it bounds what is sent elsewhere and what comes back.
+    kth = best(asked.mapInArrow(home, sent_ddl)).filter(F.col("rank") == k).select(F.col("query_id").alias("__id"), F.col("score").alias("known"))
+    known = asked.join(kth, F.col("vec_id") == F.col("__id"), "left").select("vec_id", "v", "known")
+    return best(known.mapInArrow(send, sent_ddl)).select("query_id", "rank", "vec_id", "score")
