@@ -48,3 +48,9 @@ def let(value: Column, body) -> Column:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def text_parts(docs: DataFrame, each: int = 32 << 20) -> int:
+    """Partitions in which a task holds about ``each`` bytes of text: one scan sums them, no fewer than Spark's setting."""
+    total = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    return max(parts(docs.sparkSession), -(-total // each))

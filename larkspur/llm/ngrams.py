@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, text_or_empty
+from .common import text_or_empty, text_parts
 from .shingles import mixed, word_hashes
 from .toxicity import fold
 
@@ -290,7 +290,7 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1) ->
 
     Rows of fold 0 are held out: they are scored, and teach nothing.
     """
-    n_parts = parts(docs.sparkSession)
+    n_parts = text_parts(docs)
     shards = n_parts * extra_shards
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), (fold(folds) == 0).alias("held_out"))
     texts = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).cast("int")).repartition(n_parts, "part")

@@ -13,8 +13,9 @@ distinct hashes of its segments (32 bits each within a bucket), learns which of
 documents, and sends only those segments; of equal segments in a part only the first, as the others
 repeat it whatever else matches. So a passage in a third of all documents is one segment a part.
 
-One exchange of the texts serves all three passes over them. Parts and buckets follow
-``spark.sql.shuffle.partitions``; a task holds one part's texts or one bucket's segments.
+One exchange of the texts serves all three passes over them. Parts grow in number with the bytes of
+text (and are no fewer than ``spark.sql.shuffle.partitions``), buckets with the parts; a task holds one
+part's texts or one bucket's segments.
 
 Defined results
 * null text is empty. Shorter texts than ``length`` keep all. Offsets and counts are bytes of UTF-8.
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, text_or_empty
+from .common import text_or_empty, text_parts
 from .shingles import BASE, VALUES, mixed, powers
 
 LENGTH = 50
@@ -142,7 +143,7 @@ def _joined(column) -> np.ndarray:
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), batch_strings: int = BATCH_STRINGS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``carry``, also those columns
     and ``kept_text`` (what is left; a character that was cut apart is dropped)."""
-    n_parts = parts(docs.sparkSession)
+    n_parts = text_parts(docs)
     n_buckets = 4 * n_parts
     carried = F.struct(*carry) if carry else F.lit(None).cast("struct<x:int>")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), carried.alias("carried"))
