@@ -110,3 +110,10 @@ def test_functions(spark):
     assert (row["a"], float(row["b"]), float(row["c"]), row["d"]) == (-3, -1.23, 1.23, 5)
     with pytest.raises(ValueError):
         extract_part("era", "x")
+
+
+def test_console_answers(engine):
+    from larkspur.__main__ import answer
+
+    assert answer(engine, "select count(*) as n from nation").splitlines()[:2] == ["n", "25"]
+    assert answer(engine, "selec").startswith("error: expected select") and "Physical Plan" in answer(engine, "explain select Id from things")
