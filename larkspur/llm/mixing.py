@@ -4,7 +4,8 @@ Sources get shares of the budget by weight; a source's share stops at ``most_cop
 size and the excess is dealt again, which has a closed form over the sources sorted by
 size / weight. A source's target is met by whole copies of every document (all certain) plus a
 sample: document i is included with a probability p_i that grows with its size up to 1, ranked by
-the random odds u/(1-u) divided by its inclusion odds p/(1-p), and taken from the smallest on.
+the random odds u/(1-u) divided by its inclusion odds p/(1-p), and taken from the smallest on while the
+target holds; one further document, of the size nearest to what is missing then, may close the gap.
 
 No task sees a source as a whole. Sizes are counted by (source, size) for the probabilities, and
 words by (source, rank bucket) for the cut; only the one bucket that holds the cut is sorted.
@@ -109,12 +110,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     inside = F.col("bucket") == F.col("cut")
     order = W.partitionBy("source").orderBy("rank", "doc_id", "__crc")
     running = F.col("before") + F.sum("size").over(order)
-    # The row that crosses the rest is taken if that ends nearer to it.
-    near = F.coalesce((running <= F.col("rest")) | ((running - F.col("size") < F.col("rest")) & (running - F.col("rest") <= F.col("rest") - (running - F.col("size")))), F.lit(False))
-    split = ranked.filter(inside).withColumn("sampled", near)
+    split = ranked.filter(inside).withColumn("sampled", F.coalesce(running <= F.col("rest"), F.lit(False)))
     outside = ranked.filter(~F.coalesce(inside, F.lit(False))).withColumn("sampled", F.coalesce((F.col("bucket") < F.col("cut")) | (F.col("cut").isNull() & (F.col("rest") > 0) & F.col("bucket").isNotNull()), F.lit(False)))
-    copies = F.col("whole") + F.col("sampled").cast("long")
-    return outside.unionByName(split).select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
+    decided = checkpointed(outside.unionByName(split).select("doc_id", "source", "size", "__crc", "source_size", "target", "whole", "rest", "rank", "sampled"))
+
+    # The sample ends below the rest; the one document left whose size is nearest to what is missing closes the gap, if it does.
+    gaps = decided.groupBy("source").agg((F.max("rest") - F.sum(F.when(F.col("sampled"), F.col("size")).otherwise(0))).alias("gap")).filter("gap > 0")
+    gaps = gaps.select(F.col("source").alias("__source"), "gap")
+    identity = F.struct("rank", "doc_id", "__crc", "size")
+    miss = F.abs(F.col("size") - F.col("gap"))
+    spare = decided.filter("not sampled and size > 0 and rest > 0").join(F.broadcast(gaps), same("source", "__source")).filter(miss < F.col("gap"))
+    last = spare.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), identity.alias("row"))).alias("x")).select(F.col("source").alias("__source"), F.col("x.row").alias("last"))
+    closing = F.coalesce(~F.col("sampled") & identity.eqNullSafe(F.col("last")), F.lit(False))
+    copies = F.col("whole") + (F.col("sampled") | closing).cast("long")
+    out = decided.join(F.broadcast(last), same("source", "__source"), "left")
+    return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
