@@ -39,6 +39,8 @@ from .shingles import mixed, shingle_sets
 MATCHES = 3
 PIVOTS = 6
 BLOCK_SHINGLES = 100_000
+#: A group that is opened is cut into larger blocks: every document that asks for it goes to each of them.
+OPEN_SHINGLES = 1_000_000
 QUERIES = 2_000
 ORDERS = (0, 0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 #: The first so many orders gather documents, the others gather what is left apart: groups, one member each.
@@ -226,7 +228,7 @@ def _open_groups(tokens: DataFrame, members: DataFrame, docs: DataFrame, n: int,
 
     load = asked.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("turns"))
     opened = members.join(load, members["grp"] == load["other"]).drop("other")
-    blocks = opened.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.first("turns").alias("turns"))
+    blocks = opened.groupBy("grp").agg(F.ceil(F.sum("n") / OPEN_SHINGLES).cast("int").alias("blocks"), F.first("turns").alias("turns"))
     all_of = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     inside = opened.drop("turns").join(blocks, "grp").select("grp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.explode(all_of("turns")).alias("turn"), "doc_id", F.lit(True).alias("member"))
     queries = asked.join(blocks, asked["other"] == blocks["grp"]).select("grp", F.explode(all_of("blocks")).alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("turns")).cast("int").alias("turn"), "doc_id", F.lit(False).alias("member"))
@@ -268,10 +270,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     reps = checkpointed(reps)
 
     keyed = reps.filter("mins is not null").select("doc_id", "n", F.posexplode("mins").alias("o", "m"))
-    first = components(_similar_groups(keyed.filter(F.col("o") < FIRST_ORDERS), docs, n, num, den)).withColumnRenamed("node", "doc_id")
-    apart = keyed.filter(F.col("o") >= FIRST_ORDERS).join(first, "doc_id", "left").groupBy("o", "m", F.coalesce("component", "doc_id").alias("grp"))
+    links = checkpointed(_similar_groups(keyed.filter(F.col("o") < FIRST_ORDERS), docs, n, num, den))
+    # The least pivot a document is linked with stands for its group here; it only chooses who is compared next.
+    label = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("label"))
+    apart = keyed.filter(F.col("o") >= FIRST_ORDERS).join(label, "doc_id", "left").groupBy("o", "m", F.least(F.coalesce("label", "doc_id"), F.col("doc_id")).alias("grp"))
     apart = apart.agg(F.min(F.struct("doc_id", "n")).alias("r")).select("r.*", "o", "m")
-    more = _similar_groups(apart, docs, n, num, den).unionByName(first.select(F.col("doc_id").alias("a"), F.col("component").alias("b")))
+    more = _similar_groups(apart, docs, n, num, den).unionByName(links)
     near = components(more)
     grouped = reps.select("fp", "doc_id", "n").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))

@@ -99,6 +99,7 @@ def planted(seed):
 @pytest.mark.parametrize("n,num,den", [(4, 85, 100), (5, 80, 100), (2, 60, 100)])
 def test_links_against_brute_force(spark, documents, monkeypatch, n, num, den):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 3000)
+    monkeypatch.setattr(jaccard, "OPEN_SHINGLES", 3000)
     monkeypatch.setattr(jaccard, "QUERIES", 5)
     rows = planted(n)
     got = sorted(map(tuple, jaccard_components(documents(rows), n, num, den, most_frequent=50).collect()))
