@@ -182,7 +182,7 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _similar_groups(keyed: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Links found by comparing the members of each smallest-token group with a few pivots of their block.
+    """Stars (a < b) of the components found by comparing each smallest-token group with a few pivots of its block.
 
     ``keyed``: doc_id, n, o (order), m (its smallest token)."""
     groups = keyed.groupBy("o", "m").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.min("doc_id").alias("pivot")).filter("size > 1")
@@ -202,9 +202,10 @@ def _similar_groups(keyed: DataFrame, docs: DataFrame, n: int, num: int, den: in
             for _ in range(PIVOTS):
                 both = block.overlaps(sets[pivot])
                 linked = rest & (den * both >= num * (block.sizes + block.sizes[pivot] - both))
-                pairs += [(int(ids[pivot]), int(x)) for x in ids[linked] if x != ids[pivot]]
+                linked[pivot] = True
+                least = int(ids[linked].min())  # the star of a pivot is told from its least member
+                pairs += [(least, int(x)) for x in ids[linked] if x != least]
                 rest &= ~linked
-                rest[pivot] = False
                 if rest.sum() < 2:
                     break
                 pivot = int(np.argmax(rest))
@@ -271,9 +272,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     keyed = reps.filter("mins is not null").select("doc_id", "n", F.posexplode("mins").alias("o", "m"))
     links = checkpointed(_similar_groups(keyed.filter(F.col("o") < FIRST_ORDERS), docs, n, num, den))
-    # The least pivot a document is linked with stands for its group here; it only chooses who is compared next.
+    # The least document of its stars stands for a document's group here; it only chooses who is compared next.
     label = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("label"))
-    apart = keyed.filter(F.col("o") >= FIRST_ORDERS).join(label, "doc_id", "left").groupBy("o", "m", F.least(F.coalesce("label", "doc_id"), F.col("doc_id")).alias("grp"))
+    apart = keyed.filter(F.col("o") >= FIRST_ORDERS).join(label, "doc_id", "left").groupBy("o", "m", F.coalesce("label", "doc_id").alias("grp"))
     apart = apart.agg(F.min(F.struct("doc_id", "n")).alias("r")).select("r.*", "o", "m")
     more = _similar_groups(apart, docs, n, num, den).unionByName(links)
     near = components(more)
