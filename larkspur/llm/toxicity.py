@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -98,7 +99,7 @@ def word_scores(words: list[str], table: np.ndarray, chunk: int = 20_000) -> np.
     return np.concatenate(out) if out else np.array([])
 
 
-def kernel_rows(words: list[str], landmarks: np.ndarray, chunk: int = 1000) -> np.ndarray:
+def kernel_rows(words: list[str], landmarks: np.ndarray, chunk: int = 200) -> np.ndarray:
     """Kernel of each word with landmarks given as (subsequence, landmark) columns."""
     used = np.flatnonzero(landmarks.any(axis=1))
     place = np.full(len(landmarks), -1)
@@ -229,7 +230,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 192, negatives: int
     if not (y == 1).any() or not (y == 0).any():
         return None
     rng = np.random.default_rng(seed)
-    bags = [list({c for w in words_in(t) if (c := cleaned(w))}) for t in texts]
+    bags = [list({sys.intern(c) for w in words_in(t) if (c := cleaned(w))}) for t in texts]
     fresh = np.array(unlike(bags))
     learn = rng.random(len(bags)) < 0.85 if min((y == 1).sum(), (y == 0).sum()) >= 8 else np.ones(len(bags), dtype=bool)
     inside = lambda label: [(i, bags[i]) for i in np.flatnonzero(learn & fresh & (y == label)) if bags[i]]
