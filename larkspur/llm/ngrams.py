@@ -5,15 +5,23 @@ p(w|v) = max(c - D, 0) / c(v) + D t(v) / c(v) p(w), where c(v) counts v as a con
 distinct followers, and p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)). The discounted shares (c - D) / c(v)
 are kept as 16-bit codes of their logarithms.
 
+Longer contexts, up to ``order`` - 1 words, are interpolated with the next shorter one in the same way:
+p(w|h) = max(c(hw) - D, 0) / c(h) + D t(h) / c(h) p(w|h without its first word). A context never reaches
+before the start of its text; one that was not seen in training leaves the word to the shorter context.
+
 The trie is cut into shards, each a compact block: an Elias-Fano list of its words, contexts as ids in
 it with Elias-Fano pointers to their followers, and followers as ids within the context's range of
 one monotone sequence (id + rank of the context x words). A pair is found by the context's rank and a
-successor search inside its range. A shard's block is written to a file and mapped, never copied.
+successor search inside its range. A level above pairs holds its contexts (each the next shorter one and
+a word before it), and each follower as its place among the words that follow the context's last word
+in the shard; shares and back-offs are 16-bit codes. A shard's blocks are written to files and mapped.
 
 Pairs go to shards by their context; a context with more than a share of all tokens is spread over
-many shards by follower. Each part of the corpus sends every distinct word and pair once, with its
-count in the training documents, and gets back what it needs, in the same order: no lookup table
-is ever larger than a part or a shard, and all that travels grows with the corpus, not with repeats.
+many shards by follower. Longer n-grams go by the last two words of their context, so that a context's
+followers, and the shorter contexts that it extends, stand together. Each part of the corpus sends every
+distinct word and n-gram once, with its count in the training documents, and gets back what it needs, in
+the same order: no lookup table is ever larger than a part or a shard, and all that travels grows with the
+corpus, not with repeats. Words travel as hashes once; then as the ids that their shards gave them.
 
 Defined results
 * null text is empty: its one token is the end. Text is lower-cased A-Z; words end at white space.
@@ -40,6 +48,8 @@ START = np.uint64(0x8EBC6AF09C88C6E3)
 DISCOUNT = 0.75
 CODE_STEP = 4096.0
 UNSEEN = 65535
+#: Lookups at once.
+PIECE = 1 << 16
 
 
 # --- Elias-Fano sequences -------------------------------------------------------------------
@@ -140,9 +150,65 @@ class EliasFano:
         return out
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    """A non-decreasing sequence as Elias-Fano bytes without the directory."""
+    e = EliasFano.of(values)
+    return np.concatenate((np.array([e.n, e.bits, len(e.low)], dtype="<u8"), e.low, e.high)).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    words = np.frombuffer(data, dtype="<u8")
+    n, bits, low = (int(x) for x in words[:3])
+    top = np.flatnonzero(np.unpackbits(words[3 + low :].view(np.uint8), bitorder="little"))[:n] - np.arange(n)
+    return ((top.astype(np.uint64) << np.uint64(bits)) | _unpack(words[3 : 3 + low], bits, np.arange(n))).astype(np.int64)
+
+
+def narrow(x: np.ndarray) -> bytes:
+    """Non-negative integers in the fewest bytes that hold them all, after a byte that tells how many."""
+    size = next(b for b in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * b)
+    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+
+
+def widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 # --- The trie -------------------------------------------------------------------------------
 
 
+def share_codes(shares: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(shares) * CODE_STEP), 0, UNSEEN - 1).astype("<u2")
+
+
+def _block(sequences: list[np.ndarray], codes: list[np.ndarray]) -> bytes:
+    pieces = [a for s in sequences for a in EliasFano.of(s).arrays()]
+    pieces += [np.frombuffer(c.tobytes() + b"\0" * (-c.nbytes % 8), dtype="<i8") for c in codes]
+    sizes = np.array([len(p) for p in pieces], dtype="<i8")
+    lengths = np.array([len(c) for c in codes], dtype="<i8")
+    return np.concatenate([np.array([len(pieces), len(codes)], dtype="<i8"), lengths, sizes, *(p.view("<i8") for p in pieces)]).tobytes()
+
+
+def _parts_of(block: np.ndarray) -> tuple[list[EliasFano], list[np.ndarray]]:
+    """The sequences and codes of a block."""
+    data = block.view("<i8")
+    n, m = int(data[0]), int(data[1])
+    lengths, sizes = data[2 : 2 + m], data[2 + m : 2 + m + n]
+    ends = 2 + m + n + np.cumsum(sizes)
+    pieces = [data[e - s : e] for s, e in zip(sizes, ends)]
+    sequences = [EliasFano(pieces[i], pieces[i + 1].view("<u8"), pieces[i + 2].view("<u8"), pieces[i + 3]) for i in range(0, n - m, 4)]
+    return sequences, [p.view("<u2")[:k] for p, k in zip(pieces[n - m :], lengths)]
+
+
+class _Mapped:
+    @classmethod
+    def mapped(cls, block: bytes):
+        """The block in a mapped temporary file that is gone once it is closed."""
+        with tempfile.TemporaryFile() as f:
+            f.write(block)
+            f.flush()
+            return cls(np.memmap(f, dtype=np.uint8, mode="r"))
+
+
 def build_trie(context: np.ndarray, follower: np.ndarray, count: np.ndarray, total: np.ndarray) -> bytes:
     """A shard's block from distinct pairs of hashes with their counts (all above 0) and their context's count."""
     words = np.unique(np.concatenate((context, follower)))
@@ -152,35 +218,14 @@ def build_trie(context: np.ndarray, follower: np.ndarray, count: np.ndarray, tot
     contexts, first = np.unique(of, return_index=True)
     rank = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(of))))
     shares = np.maximum(count[order] - DISCOUNT, 1e-9) / np.maximum(total[order], 1)
-    codes = np.clip(np.rint(-np.log10(shares) * CODE_STEP), 0, UNSEEN - 1).astype("<u2")
-    pieces = []
-    for s in (words, contexts, np.append(first, len(of)), to.astype(np.uint64) + rank.astype(np.uint64) * np.uint64(len(words))):
-        pieces += EliasFano.of(s).arrays()
-    pieces.append(np.frombuffer(codes.tobytes() + b"\0" * (-codes.nbytes % 8), dtype="<i8"))
-    sizes = np.array([len(p) for p in pieces], dtype="<i8")
-    return np.concatenate([np.array([len(pieces), len(codes)], dtype="<i8"), sizes, *(p.view("<i8") for p in pieces)]).tobytes()
+    return _block([words, contexts, np.append(first, len(of)), to.astype(np.uint64) + rank.astype(np.uint64) * np.uint64(len(words))], [share_codes(shares)])
 
 
-class Trie:
+class Trie(_Mapped):
     """A mapped block: ``find`` gives the code of each pair, ``followers`` a context's distinct followers."""
 
     def __init__(self, block: np.ndarray):
-        data = block.view("<i8")
-        n, self.pairs = int(data[0]), int(data[1])
-        sizes = data[2 : 2 + n]
-        ends = 2 + n + np.cumsum(sizes)
-        pieces = [data[e - s : e] for s, e in zip(sizes, ends)]
-        part = lambda i: EliasFano(pieces[i], pieces[i + 1].view("<u8"), pieces[i + 2].view("<u8"), pieces[i + 3])
-        self.words, self.contexts, self.pointers, self.children = (part(4 * i) for i in range(4))
-        self.codes = pieces[16].view("<u2")[: self.pairs]
-
-    @classmethod
-    def mapped(cls, block: bytes) -> "Trie":
-        """The block in a mapped temporary file that is gone once it is closed."""
-        with tempfile.TemporaryFile() as f:
-            f.write(block)
-            f.flush()
-            return cls(np.memmap(f, dtype=np.uint8, mode="r"))
+        (self.words, self.contexts, self.pointers, self.children), (self.codes,) = _parts_of(block)
 
     def followers(self, context: np.ndarray) -> np.ndarray:
         rank = self._rank(context)
@@ -204,6 +249,122 @@ class Trie:
         return out
 
 
+class Level(_Mapped):
+    """A mapped level above pairs: contexts, where each context's followers start, followers, their shares, back-offs."""
+
+    def __init__(self, block: np.ndarray):
+        (self.contexts, self.starts, self.children), (self.codes, self.backs) = _parts_of(block)
+
+    @classmethod
+    def of(cls, context: np.ndarray, reach: np.ndarray, place: np.ndarray, count: np.ndarray) -> "Level":
+        """From n-grams (equal ones are summed): context, its last word's number of followers, the follower's place among them."""
+        contexts, of = np.unique(context, return_inverse=True)
+        wide = np.zeros(len(contexts), dtype=np.int64)
+        wide[of] = reach
+        starts = np.concatenate(([0], np.cumsum(wide)))
+        children, at = np.unique(starts[of] + place, return_inverse=True)
+        sums = np.bincount(at, count, len(children))
+        rank = np.searchsorted(starts, children, "right") - 1
+        total, distinct = np.bincount(rank, sums, len(contexts)), np.bincount(rank, minlength=len(contexts))
+        return cls.mapped(_block([contexts, starts, children], [share_codes((sums - DISCOUNT) / total[rank]), share_codes(DISCOUNT * distinct / total)]))
+
+    def context(self, key: np.ndarray) -> np.ndarray:
+        """Rank of each context, or -1; a key below 0 is none."""
+        return np.where(key >= 0, _find(self.contexts, np.maximum(key, 0)), -1)
+
+    def find(self, rank: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The code of each follower's share, or UNSEEN; a rank or place below 0 is none."""
+        out = np.full(len(rank), UNSEEN, dtype="<u2")
+        for a in range(0, len(rank), PIECE):
+            known = a + np.flatnonzero((rank[a : a + PIECE] >= 0) & (place[a : a + PIECE] >= 0))
+            at = self.children.find(self.starts.values(rank[known]) + place[known].astype(np.uint64))
+            out[known[at >= 0]] = self.codes[at[at >= 0]]
+        return out
+
+    def back(self, rank: np.ndarray) -> np.ndarray:
+        out = np.full(len(rank), UNSEEN, dtype="<u2")
+        out[rank >= 0] = self.backs[rank[rank >= 0]]
+        return out
+
+
+def _find(sequence: EliasFano, x: np.ndarray) -> np.ndarray:
+    """Index of each x in the sequence, or -1, with one search for equal ones."""
+    distinct, of = np.unique(x, return_inverse=True)
+    return np.concatenate([sequence.find(distinct[a : a + PIECE]).astype(np.int32) for a in range(0, len(distinct), PIECE)] or [np.zeros(0, np.int32)])[of]
+
+
+class Places:
+    """The place of each follower among the words that follow a word, from distinct sorted keys (word x bound + follower)."""
+
+    def __init__(self, keys: np.ndarray, bound: int):
+        last, first = np.unique(keys // bound, return_index=True)
+        self.keys, self.last, self.first, self.bound = (*map(EliasFano.of, (keys, last, np.append(first, len(keys)))), bound)
+
+    def of(self, word: np.ndarray, follower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the word's followers, and the follower's place, or -1."""
+        keys, of = np.unique(word * self.bound + follower, return_inverse=True)
+        reach, place = np.zeros(len(keys), dtype=np.int32), np.full(len(keys), -1, dtype=np.int32)
+        for a in range(0, len(keys) if self.last.n else 0, PIECE):
+            some = slice(a, a + PIECE)
+            rank, at = self.last.find(keys[some] // self.bound), self.keys.find(keys[some])
+            start, end = (self.first.values(np.maximum(rank, 0) + i).astype(np.int64) for i in (0, 1))
+            reach[some], place[some] = np.where(rank >= 0, end - start, 0), np.where(at >= 0, at - start, -1)
+        return reach[of], place[of]
+
+
+def answer_levels(asked: list[list[bytes]], names: list[np.ndarray], bound: int) -> list[bytes]:
+    """Build a shard's levels above pairs from all parts' n-grams; then each part's codes, back-offs by context, level by level.
+
+    ``names`` are the ids of the words that a part numbers from 0 in its message. ``asked`` holds three pieces a level and part:
+    contexts (level 3: last word x names + the one before it; above: index of the shorter context in the part's list x names + the
+    word before it), n-grams (index of the context x names + follower), counts.
+    """
+    out: list[list[bytes]] = [[] for _ in asked]
+    shorter, places = None, None
+    for at in range(0, len(asked[0]) if asked else 0, 3):
+        keys, grams = [], []
+        for a, ids in zip(asked, names):
+            old, new = np.divmod(unpack_sorted(a[at]), max(1, len(ids)))
+            keys.append((ids[old] if shorter is None else old) * bound + ids[new])
+            of, follower = np.divmod(unpack_sorted(a[at + 1]), max(1, len(ids)))
+            grams.append((of.astype(np.int32), ids[follower].astype(np.int32)))
+        of, follower = (np.concatenate(x) for x in zip(*grams))
+        del grams
+        count = np.concatenate([widened(a[at + 2]) for a in asked])
+        n, m = np.array([len(k) for k in keys]), np.array([len(a[at + 2]) - 1 for a in asked]) // [a[at + 2][0] for a in asked]
+        offset = np.cumsum(n) - n
+        key, of = np.concatenate(keys), of + np.repeat(offset, m)
+        del keys
+        if shorter is None:
+            last = key // bound
+        else:
+            parent, word = np.divmod(key, bound)
+            parent += np.repeat(shorter[2], n)
+            last, rank = shorter[1][parent], shorter[0][parent]
+            key = np.where(rank >= 0, rank * bound + word, -1)
+        trained = count > 0
+        if places is None:
+            places = Places(np.unique(last[of[trained]] * bound + follower[trained]), bound)
+        reach, place = places.of(last[of], follower)
+        level = Level.of(key[of[trained]], reach[trained], place[trained], count[trained])
+        rank = level.context(key)
+        codes, backs = level.find(rank[of], place), level.back(rank)
+        for o, c, b in zip(out, np.split(codes, np.cumsum(m)[:-1]), np.split(backs, np.cumsum(n)[:-1])):
+            o += [c.tobytes(), b.tobytes()]
+        shorter = rank, last, offset
+    return [_joined(o) for o in out]
+
+
+def _joined(pieces: list[bytes]) -> bytes:
+    return np.array([len(pieces), *map(len, pieces)], dtype="<i8").tobytes() + b"".join(pieces)
+
+
+def _split(data: bytes) -> list[bytes]:
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(data, "<i8", n, 8))
+    return [data[a:b] for a, b in zip([8 * (n + 1), *ends.tolist()], ends.tolist())]
+
+
 def share(codes: np.ndarray) -> np.ndarray:
     """The discounted shares that codes stand for; 0 for an unseen pair."""
     return np.where(codes == UNSEEN, 0.0, 10.0 ** (codes.astype(np.float64) / -CODE_STEP))
@@ -235,61 +396,129 @@ class _Part:
     """A part's tokens as ids of its distinct words, and its distinct pairs; the same for the same rows in any order."""
 
     def __init__(self, table: pa.Table, shards: int):
-        self.texts = [t or b"" for t in table["text"].to_pylist()]
         held = table["held_out"].to_numpy(zero_copy_only=False)
-        tokens, self.counts = _tokens(self.texts)
+        tokens, self.counts = _tokens([t or b"" for t in table["text"].to_pylist()])
         self.ends = np.cumsum(self.counts)
         self.words, self.token = np.unique(np.append(tokens, START), return_inverse=True)
-        self.token, start = self.token[:-1].astype(np.int64), int(self.token[-1])
+        self.token, start = self.token[:-1].astype(np.int32), int(self.token[-1])
         self.train = np.repeat(~held, self.counts)
         self.word_counts = np.bincount(self.token[self.train], minlength=len(self.words))
-        before = np.empty_like(self.token)
-        before[1:] = self.token[:-1]
-        before[(self.ends - self.counts)[self.counts > 0]] = start
-        pair = before * len(self.words) + self.token
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
-        self.context, self.follower = np.divmod(self.pairs, max(1, len(self.words)))
-        self.pair_counts = np.bincount(self.pair[self.train], minlength=len(self.pairs))
         self.start = start
         self.n_train = int((~held).sum())
         self.shards = shards
         self.word_shard = (self.words % np.uint64(shards)).astype(np.int64)
 
-    def receive(self, counted: pa.Table) -> None:
-        """Corpus counts of the part's words, and the corpus totals, from every shard."""
-        self.corpus = np.zeros(len(self.words), dtype=np.int64)
-        for shard, counts in zip(counted["shard"].to_pylist(), counted["counts"].to_pylist()):
-            self.corpus[self.word_shard == shard] = np.frombuffer(counts, dtype="<i8")
+    def receive(self, counted: pa.Table, order: int) -> None:
+        """Corpus counts and ids of the part's words, and the corpus totals, from every shard; then the n-grams."""
+        self.corpus, self.ids = np.zeros(len(self.words), dtype=np.int64), np.zeros(len(self.words), dtype=np.int32)
+        for shard, counts, ranks in zip(*(counted[c].to_pylist() for c in ("shard", "counts", "ranks"))):
+            own = self.word_shard == shard
+            self.corpus[own], self.ids[own] = widened(counts), unpack_sorted(ranks) * self.shards + shard
         self.n, self.v = (int(sum(counted[c].to_pylist())) for c in ("n", "v"))
+        self.bound = self.shards * max([1, *counted["size"].to_pylist()])  # above every id
+        assert self.bound < 1 << 31
         end = np.flatnonzero(self.words == END)
         self.totals = self.corpus.copy()
         self.totals[self.start] = self.corpus[end[0]] if len(end) else 0  # a text starts as often as one ends
+        first = self.ends - self.counts
+        before = np.empty_like(self.token)
+        before[1:] = self.token[:-1]
+        before[first] = self.start
+        self.context, self.follower, self.pair, self.pair_counts = self._grams(before, self.token, np.arange(len(self.token)))
         # A context of more than a share of all tokens is spread by follower, by counts that all parts know alike.
         spread = np.maximum(1, 8 * self.shards * self.totals[self.context] // max(1, self.n)).astype(np.uint64)
         salt = mixed(self.words[self.follower]) % spread
-        self.pair_shard = (mixed(self.words[self.context] + salt * END) % np.uint64(self.shards)).astype(np.int64)
-        order = np.argsort(self.pair_shard, kind="stable")  # within a shard by context, then follower
-        bounds = np.searchsorted(self.pair_shard[order], np.arange(self.shards + 1))
-        self.sent = [order[a:b] for a, b in zip(bounds, bounds[1:])]
+        pair_shard = (mixed(self.words[self.context] + salt * END) % np.uint64(self.shards)).astype(np.int32)
+        by = np.lexsort((self.ids[self.follower], self.ids[self.context], pair_shard)).astype(np.int32)  # within a shard by context, then follower
+        self.sent = self._cut(by, pair_shard)
+        # A context is asked for on every shard it is spread over: each counts the followers that it has.
+        context, first_pair = np.unique(self.context, return_index=True)
+        times = spread[first_pair].astype(np.int64)
+        context, salt = np.repeat(context, times), (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+        shard = (mixed(self.words[context] + salt * END) % np.uint64(self.shards)).astype(np.int64)
+        _, at = np.unique(shard * self.bound + self.ids[context], return_index=True)
+        self.asked = [context[at][i] for i in self._cut(np.arange(len(at)), shard[at])]
+        del spread, salt, pair_shard, by, before, first_pair, times, context, shard, at
+        # Levels above: n-grams from the position where their whole context stands in the text.
+        self.levels, place = [], (np.arange(len(self.token)) - np.repeat(first, self.counts)).astype(np.int32)
+        lower, shorter = self.pair, None  # of each position: its n-gram one level down; of each such n-gram: its context's index
+        for k in range(3, order + 1):
+            at = np.flatnonzero(place >= k - 2).astype(np.int32)
+            prefix, follower, gram, counts = self._grams(lower[at - 1], self.token[at], at)
+            if k == 3:
+                early, late, oldest = self.context[prefix], self.follower[prefix], self.context
+                shard = (mixed(mixed(self.words[early]) + self.words[late]) % np.uint64(self.shards)).astype(np.int32)
+                key = self.ids[late].astype(np.int64) * self.bound + self.ids[early]
+            else:
+                suffix = np.empty(len(prefix), dtype=np.int32)
+                suffix[gram] = lower[at]
+                oldest = oldest[self.levels[-1]["prefix"]]
+                shard, key = shorter["shard"][suffix], shorter["index"][suffix].astype(np.int64) * self.bound + self.ids[oldest[prefix]]
+            by = np.lexsort((self.ids[follower], key, shard)).astype(np.int32)
+            fresh = np.ones(len(by), dtype=bool)
+            fresh[1:] = (key[by][1:] != key[by][:-1]) | (shard[by][1:] != shard[by][:-1])
+            number = np.cumsum(fresh) - 1  # of the context, over all shards
+            of = np.empty(len(by), dtype=np.int32)
+            of[by] = number
+            cuts = self._cut(by, shard)
+            starts = np.array([of[c[0]] if len(c) else 0 for c in cuts], dtype=np.int32)
+            shorter = {"shard": shard, "index": of - starts[shard]}
+            self.levels.append({"at": at, "gram": gram, "prefix": prefix, "follower": follower, "counts": counts, "key": key, "index": shorter["index"], "sent": cuts})
+            full = np.full(len(self.token), -1, dtype=np.int32)
+            full[at] = gram
+            lower = full
+
+    def _grams(self, prefix: np.ndarray, follower: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams as prefix and follower; the n-gram at each position; counts in training documents."""
+        keys, gram = np.unique(prefix.astype(np.int64) * len(self.words) + follower, return_inverse=True)
+        gram = gram.astype(np.int32)  # a part has fewer tokens than that
+        counts = np.bincount(gram[self.train[at]], minlength=len(keys)).astype(np.int32)
+        return *(x.astype(np.int32) for x in np.divmod(keys, max(1, len(self.words)))), gram, counts
+
+    def _cut(self, order: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
+        bounds = np.searchsorted(shard[order], np.arange(self.shards + 1))
+        return [order[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def contexts_of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct contexts that a shard is sent, and how many pairs each has."""
-        return np.unique(self.context[self.sent[shard]], return_counts=True)
+        """The distinct contexts that a shard is sent, by id, and the index among them of each pair's context."""
+        contexts = self.asked[shard]
+        return contexts, np.searchsorted(self.ids[contexts], self.ids[self.context[self.sent[shard]]])
+
+    def names_of(self, shard: int) -> np.ndarray:
+        """The ids of all words in what a shard is sent, in order: its message numbers words by their place here."""
+        words = [self.asked[shard], self.follower[self.sent[shard]]]
+        for level in self.levels:
+            words.append(level["follower"][level["sent"][shard]])
+        ids = [self.ids[w] for w in words]
+        for i, level in enumerate(self.levels):
+            ids += [x.astype(np.int32) for x in np.divmod(level["key"][level["sent"][shard]], self.bound)[i > 0 :]]
+        return np.unique(np.concatenate(ids))
+
+    def levels_of(self, shard: int, names: np.ndarray) -> list[bytes]:
+        """What a shard is sent of the levels above pairs, as ``answer_levels`` reads it."""
+        out, place = [], lambda ids: np.searchsorted(names, ids.astype(np.int32))
+        for i, level in enumerate(self.levels):
+            at = level["sent"][shard]
+            index = level["index"][at]
+            fresh = np.ones(len(at), dtype=bool)
+            fresh[1:] = index[1:] != index[:-1]
+            old, new = np.divmod(level["key"][at[fresh]], self.bound)
+            keys = (old if i else place(old)) * len(names) + place(new)
+            out += [pack_sorted(keys), pack_sorted(index.astype(np.int64) * len(names) + place(self.ids[level["follower"][at]])), narrow(level["counts"][at])]
+        return out
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
 
-def _i8(x: np.ndarray) -> bytes:
-    return x.astype("<i8").tobytes()
-
-
-def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    Rows of fold 0 are held out: they are scored, and teach nothing.
+    Rows of fold 0 are held out: they are scored, and teach nothing. ``order`` (2 or more) is the words of the longest n-grams.
     """
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     n_parts = text_parts(docs)
     shards = n_parts * extra_shards
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), (fold(folds) == 0).alias("held_out"))
@@ -299,51 +528,59 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1) ->
 
     def send_words(table: pa.Table) -> pa.Table:
         own, part = _Part(table, shards), table["part"][0].as_py()
-        return _rows([(s, part, own.words[at].tobytes(), _i8(own.word_counts[at])) for s in range(shards) for at in [own.word_shard == s]], words_schema)
+        return _rows([(s, part, own.words[at].tobytes(), narrow(own.word_counts[at])) for s in range(shards) for at in [own.word_shard == s]], words_schema)
 
-    counted_schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("shares", pa.binary()), ("followers", pa.binary())])
-    counted_ddl = "part int, shard int, counts binary, n long, v long, shares binary, followers binary"
+    counted_schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("ranks", pa.binary()), ("size", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("shares", pa.binary()), ("followers", pa.binary()), ("levels", pa.binary())])
+    counted_ddl = "part int, shard int, counts binary, ranks binary, size long, n long, v long, shares binary, followers binary, levels binary"
 
     def count_words(table: pa.Table) -> pa.Table:
         lists = [np.frombuffer(x, dtype=np.uint64) for x in table["words"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, dtype="<i8") for x in table["counts"].to_pylist()])
+        counts = np.concatenate([widened(x) for x in table["counts"].to_pylist()])
         words, of = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.zeros(len(words), dtype=np.int64)
         np.add.at(total, of, counts)
         shard = table["shard"][0].as_py()
         n, v = int(total.sum()), int((total > 0).sum())
-        return _rows([(p, shard, _i8(total[np.searchsorted(words, x)]), n, v, None, None) for p, x in zip(table["part"].to_pylist(), lists)], counted_schema)
+        ranks = [np.searchsorted(words, x) for x in lists]
+        return _rows([(p, shard, narrow(total[r]), pack_sorted(r), len(words), n, v, None, None, None) for p, r in zip(table["part"].to_pylist(), ranks)], counted_schema)
 
-    pairs_schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("contexts", pa.binary()), ("totals", pa.binary()), ("sizes", pa.binary()), ("followers", pa.binary()), ("counts", pa.binary())])
+    pairs_schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("bound", pa.int64()), ("names", pa.binary()), ("contexts", pa.binary()), ("totals", pa.binary()), ("pairs", pa.binary()), ("counts", pa.binary()), ("levels", pa.binary())])
+    pairs_ddl = "shard int, part int, bound long, names binary, contexts binary, totals binary, pairs binary, counts binary, levels binary"
 
     def send_pairs(table: pa.Table, counted: pa.Table) -> pa.Table:
         if not len(table):
             return _rows([], pairs_schema)
         own, part, out = _Part(table, shards), table["part"][0].as_py(), []
-        own.receive(counted)
+        own.receive(counted, order)
         for s, at in enumerate(own.sent):
-            contexts, sizes = own.contexts_of(s)
-            out.append((s, part, own.words[contexts].tobytes(), own.totals[contexts].astype("<u8").tobytes(), sizes.astype("<u4").tobytes(), own.words[own.follower[at]].tobytes(), own.pair_counts[at].astype("<u4").tobytes()))
+            contexts, of = own.contexts_of(s)
+            names = own.names_of(s)
+            pairs = pack_sorted(of * len(names) + np.searchsorted(names, own.ids[own.follower[at]]))
+            out.append((s, part, own.bound, pack_sorted(names), pack_sorted(np.searchsorted(names, own.ids[contexts])), narrow(own.totals[contexts]), pairs, narrow(own.pair_counts[at]), _joined(own.levels_of(s, names))))
         return _rows(out, pairs_schema)
 
     def answer(table: pa.Table) -> pa.Table:
-        """Build the shard's trie from the training counts of all parts, then look up each part's pairs in it."""
-        columns = [[np.frombuffer(x, dtype=t) for x in table[c].to_pylist()] for c, t in (("contexts", np.uint64), ("totals", "<u8"), ("sizes", "<u4"), ("followers", np.uint64), ("counts", "<u4"))]
-        contexts, totals, sizes, followers, counts = columns
-        asked = [np.repeat(c, s) for c, s in zip(contexts, sizes)]
-        context, follower, count = np.concatenate(asked), np.concatenate(followers), np.concatenate(counts).astype(np.int64)
-        total = np.concatenate([np.repeat(t, s) for t, s in zip(totals, sizes)]).astype(np.int64)
+        """Build the shard's trie from the training counts of all parts, then look up each part's n-grams in it."""
+        bound = table["bound"][0].as_py()
+        names = [unpack_sorted(x) for x in table["names"].to_pylist()]
+        contexts = [ids[unpack_sorted(x)] for x, ids in zip(table["contexts"].to_pylist(), names)]
+        pairs = [np.divmod(unpack_sorted(x), max(1, len(ids))) for x, ids in zip(table["pairs"].to_pylist(), names)]
+        asked, followers = [c[of] for c, (of, _) in zip(contexts, pairs)], [ids[f] for ids, (_, f) in zip(names, pairs)]
+        context, follower, count = np.concatenate(asked), np.concatenate(followers), np.concatenate([widened(x) for x in table["counts"].to_pylist()])
+        total = np.concatenate([widened(x)[of] for x, (of, _) in zip(table["totals"].to_pylist(), pairs)])
         trained = count > 0
         context, follower, count, total = context[trained], follower[trained], count[trained], total[trained]
-        order = np.lexsort((follower, context))
-        context, follower, count, total = context[order], follower[order], count[order], total[order]
+        by = np.lexsort((follower, context))
+        context, follower, count, total = context[by], follower[by], count[by], total[by]
         first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (follower[1:] != follower[:-1])))) if len(context) else np.array([], dtype=np.int64)
         sums = np.add.reduceat(count, first) if len(first) else count
-        trie = Trie.mapped(build_trie(context[first], follower[first], sums, total[first]))
+        trie = Trie.mapped(build_trie(context[first].astype(np.uint64), follower[first].astype(np.uint64), sums, total[first]))
         shard = table["shard"][0].as_py()
-        out = []
-        for p, c, a, f in zip(table["part"].to_pylist(), contexts, asked, followers):
-            out.append((p, shard, None, None, None, trie.find(a, f).tobytes(), trie.followers(c).astype("<u4").tobytes()))
+        del context, follower, count, total, by, pairs, trained, sums
+        found = [(trie.find(a, f).tobytes(), narrow(trie.followers(c))) for c, a, f in zip(contexts, asked, followers)]
+        del contexts, asked, followers, trie
+        levels = answer_levels([_split(x) for x in table["levels"].to_pylist()], names, bound)
+        out = [(p, shard, None, None, None, None, None, *pairs, above) for p, pairs, above in zip(table["part"].to_pylist(), found, levels)]
         return _rows(out, counted_schema)
 
     result = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -353,27 +590,35 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1) ->
             return _rows([], result)
         own = _Part(table, shards)
         kind = sent["counts"].is_valid()
-        own.receive(sent.filter(kind))
-        codes, distinct = np.full(len(own.pairs), UNSEEN, dtype="<u2"), np.zeros(len(own.words))
+        own.receive(sent.filter(kind), order)
+        codes, distinct = np.full(len(own.context), UNSEEN, dtype="<u2"), np.zeros(len(own.words))
         answers = sent.filter(pa.array(~kind.to_numpy(zero_copy_only=False)))
-        for s, found, after in zip(answers["shard"].to_pylist(), answers["shares"].to_pylist(), answers["followers"].to_pylist()):
+        above = [(np.full(len(x["key"]), UNSEEN, dtype="<u2"), np.full(len(x["key"]), UNSEEN, dtype="<u2")) for x in own.levels]
+        for s, found, after, deep in zip(*(answers[c].to_pylist() for c in ("shard", "shares", "followers", "levels"))):
             codes[own.sent[s]] = np.frombuffer(found, dtype="<u2")
             contexts, _ = own.contexts_of(s)
-            distinct[contexts] += np.frombuffer(after, dtype="<u4")
+            distinct[contexts] += widened(after)
+            deep = _split(deep)
+            for i, (level, (shares, backs)) in enumerate(zip(own.levels, above)):
+                at = level["sent"][s]
+                shares[at] = np.frombuffer(deep[2 * i], dtype="<u2")
+                backs[at] = np.frombuffer(deep[2 * i + 1], dtype="<u2")[level["index"][at]]
         base = (own.corpus + 0.1) / (own.n + 0.1 * (own.v + 1))
         total = own.totals.astype(np.float64)
         back = np.where(total > 0, DISCOUNT * distinct / np.maximum(total, 1), 1.0)
-        log_pair = np.log10(share(codes) + back[own.context] * base[own.follower])
+        p = (share(codes) + back[own.context] * base[own.follower])[own.pair]
+        for level, (shares, backs) in zip(own.levels, above):
+            p[level["at"]] = share(shares)[level["gram"]] + np.where(backs == UNSEEN, 1.0, share(backs))[level["gram"]] * p[level["at"]]
         sums = lambda x: np.add.reduceat(x, own.ends - own.counts)  # noqa: E731  every text has its end
         rows = zip(
             table["doc_id"].to_pylist(), table["held_out"].to_pylist(), own.counts.tolist(), sums((own.corpus > 0)[own.token].astype(np.int64)).tolist(),
-            [own.n] * len(own.counts), sums(np.log10(base)[own.token]).tolist(), sums(log_pair[own.pair]).tolist(),
+            [own.n] * len(own.counts), sums(np.log10(base)[own.token]).tolist(), sums(np.log10(p)).tolist(),
         )
         return _rows(list(rows), result)
 
     words = texts.groupBy("part").applyInArrow(send_words, "shard int, part int, words binary, counts binary")
     counted = words.groupBy("shard").applyInArrow(count_words, counted_ddl)
-    pairs = texts.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(send_pairs, "shard int, part int, contexts binary, totals binary, sizes binary, followers binary, counts binary")
+    pairs = texts.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(send_pairs, pairs_ddl)
     answers = pairs.groupBy("shard").applyInArrow(answer, counted_ddl)
     sent = counted.unionByName(answers)
     return texts.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -65,7 +65,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model_scores(table(spark, sf_dir, "documents"))
+    return language_model_scores(table(spark, sf_dir, "documents"), order=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm.ngrams import CODE_STEP, DISCOUNT, EliasFano, Trie, build_trie, score_documents, share
+from larkspur.llm.ngrams import CODE_STEP, DISCOUNT, EliasFano, Trie, build_trie, narrow, pack_sorted, score_documents, share, unpack_sorted, widened
 
 
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=60), st.integers(0, 60), st.lists(st.integers(0, 2**64 - 1), max_size=20))
@@ -98,3 +98,66 @@ def test_probabilities_sum_to_one(documents):
 def test_model_beats_the_base_on_held_out_repeats(spark):
     rows = [r for r in score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def brute_of_order(rows, order):
+    """As ``brute``, with contexts of up to order - 1 words."""
+    two = {}
+    for r in brute(rows):
+        two.setdefault(r[0], []).append(r)
+    tokens = [["", *re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), None] for _, t in rows]
+    held = [zlib.crc32(str("" if d is None else d).encode()) % 10 == 0 for d, _ in rows]
+    seen, context, after = Counter(), Counter(), defaultdict(set)
+    for t, h in zip(tokens, held):
+        for i in range(1, len(t)) if not h else ():
+            for a in range(max(0, i - order + 1), i + 1):
+                seen[tuple(t[a : i + 1])] += 1
+                context[tuple(t[a:i])] += 1
+                after[tuple(t[a:i])].add(t[i])
+    n, v = context[()], len(after[()])
+    out = []
+    for (d, _), t, h in zip(rows, tokens, held):
+        score = 0.0
+        for i in range(1, len(t)):
+            p = (seen[t[i],] + 0.1) / (n + 0.1 * (v + 1))
+            for a in range(i - 1, max(0, i - order + 1) - 1, -1):
+                c = tuple(t[a:i])
+                if context[c]:
+                    p = max(seen[*c, t[i]] - DISCOUNT, 0) / context[c] + DISCOUNT * len(after[c]) / context[c] * p
+            score += math.log10(p)
+        out.append((*next(r for r in two[d] if r[2] == len(t) - 1)[:5], 0.0, score))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_longer_contexts_against_brute_force(documents, sample, order):
+    rows = [(r["doc_id"], r["text"]) for r in sample.limit(60).collect()] + [(9001, None), (9002, "the"), (9003, "the the the the the"), (9004, "a b c d a b c e a b c d")]
+    got = {r["doc_id"]: r["score"] for r in score_documents(documents(rows), order=order).collect()}
+    want = {r[0]: (r[6], r[2]) for r in brute_of_order(rows, order)}
+    assert set(got) == set(want)
+    for d, (score, n) in want.items():
+        assert got[d] == pytest.approx(score, abs=2e-4 * n + 1e-9)
+
+
+def test_the_query_sees_two_words_back(spark, tmp_path, documents):
+    """Words alone and pairs are alike in both probes; only a context of two words tells them apart."""
+    from larkspur.llm.queries import queries
+
+    names = [d for d in range(400) if zlib.crc32(str(d).encode()) % 10 == 0][:2]
+    train = [d for d in range(400) if zlib.crc32(str(d).encode()) % 10][:40]
+    rows = [(d, ["a x b", "c x d"][i % 2]) for i, d in enumerate(train)] + list(zip(names, ["a x b", "a x d"]))
+    documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["score"] for r in queries()["op10_lm_scoring"](spark, str(tmp_path)).collect()}
+    assert got[names[0]] > got[names[1]] + 0.5
+
+
+@given(st.lists(st.integers(0, 2**62), max_size=60), st.integers(0, 62))
+@settings(max_examples=200, deadline=None)
+def test_sequences_that_travel(values, shift):
+    values = sorted(v >> shift for v in values)
+    assert unpack_sorted(pack_sorted(np.array(values, dtype=np.int64))).tolist() == values == widened(narrow(np.array(values, dtype=np.int64))).tolist()
+
+
+def test_followers_of_a_spread_context_are_counted_on_all_its_shards(documents):
+    rows = [(d, f"a w{d}") for d in range(9)]
+    compare(score_documents(documents(rows)).collect(), brute(rows))
