@@ -6,9 +6,9 @@ q.p - |q||x - p| <= q.x <= q.p + |q||x - p|. The summaries give every query a sc
 certainly reach, and its k-th score in the cell of its best pivot raises that; a query is sent only to
 cells whose upper bound reaches it, and solved there by one matrix product. Cells are cut into blocks of bounded size, as are the queries of a cell.
 
-Of equal vectors, only the k + 1 smallest ids can be among anyone's k best (ties go to the smaller
-id, and one of them may be the query's own row), so longer runs of copies are cut to these before
-the join, on the map side; all rows still query.
+Of equal vectors, only k rows of an id, and of these only the 2 k of smallest ids, can be among anyone's
+k best (ties go to the smaller id, and up to k of them may bear the query's own id), so longer runs of
+copies are cut to these before the join, on the map side; all rows still query.
 
 Defined results
 * vectors that are null or hold null or non-finite components take no part; shorter vectors count
@@ -85,8 +85,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_rows: int = 2
     Both have vec_id and embedding. Pivots are at most ``most_pivots`` vectors, chosen by hash; with
     their summaries they are the only data that reach the driver.
     """
-    copies = W.partitionBy("v").orderBy("vec_id")
-    data = checkpointed(quantised(vectors).withColumn("copy", F.row_number().over(copies)).filter(F.col("copy") <= k + 1).drop("copy"))
+    same, copies = W.partitionBy("v", "vec_id").orderBy("vec_id"), W.partitionBy("v").orderBy("vec_id")
+    data = quantised(vectors)
+    for rows_of, most in ((same, k), (copies, 2 * k)):
+        data = data.withColumn("copy", F.row_number().over(rows_of)).filter(F.col("copy") <= most).drop("copy")
+    data = checkpointed(data)
     asked = quantised(queries)
     rows, width = data.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("v")), F.lit(0))).first()
     width = max(1, width // 8, (asked.agg(F.max(F.octet_length("v"))).first()[0] or 0) // 8)
@@ -108,13 +111,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_rows: int = 2
     celled = checkpointed(data.mapInArrow(assign, "cell int, far double, vec_id long, v binary"))
     nearest = W.partitionBy("cell").orderBy("far")
     sizes = {r["cell"]: r for r in celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}  # a row a pivot
-    inner = celled.select("cell", "far").withColumn("i", F.row_number().over(nearest)).filter(F.col("i") <= k + 1).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
+    # One member an id counts, over all cells: no more than one of those that a bound counts bears the query's own id.
+    single = celled.groupBy("vec_id").agg(F.min(F.struct("far", "cell")).alias("m")).select("m.cell", "m.far")
+    inner = single.withColumn("i", F.row_number().over(nearest)).filter(F.col("i") <= k + 1).groupBy("cell").agg(F.sort_array(F.collect_list("far")).alias("near"))
     near = {r["cell"]: r["near"] for r in inner.collect()}  # k + 1 numbers a pivot
     cells = sorted(sizes)
     centre, radius = pivots[cells], np.array([sizes[c]["radius"] for c in cells])
     close = np.full((len(cells), k + 1), np.inf)
     for i, c in enumerate(cells):
-        close[i, : len(near[c])] = near[c]
+        close[i, : len(near.get(c, ()))] = near.get(c, ())
     blocks = np.array([-(-sizes[c]["n"] // block_rows) for c in cells])
 
     sent_schema = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("query_id", pa.int64()), ("least", pa.int64()), ("q", pa.binary())])

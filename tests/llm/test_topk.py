@@ -55,3 +55,26 @@ def test_products_are_exact(seed, most):
     rng = np.random.default_rng(seed)
     a, b = rng.integers(-min(most, 2**28), min(most, 2**28), (3, 5)), rng.integers(-min(most, 2**28), min(most, 2**28), (4, 5))
     assert products(a, b).tolist() == [[int(sum(int(u) * int(w) for u, w in zip(x, y))) for y in b] for x in a]
+
+
+@pytest.mark.parametrize("case", ["copies of one id", "one id in a close cell", "repeated queries"])
+def test_repeated_ids_as_the_sql_has_them(spark, case):
+    import duckdb
+    import pyarrow as pa
+
+    from larkspur.llm.oracles import exact_top_k
+
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(300, 4)).round(3)
+    rows = [(i, v) for i, v in enumerate(x.tolist(), 1)]
+    if case == "copies of one id":
+        rows += [(0, [3.0, 3.0, 3.0, 3.0])] * 30 + [(i, [3.0, 3.0, 3.0, 3.0]) for i in range(1000, 1030)]
+    elif case == "one id in a close cell":
+        rows += [(0, (9 + rng.normal(size=4) / 50).tolist()) for _ in range(40)]
+    else:
+        rows += [(40, rows[39][1])] + [(0, [1.0, 0.0, 0.0, 0.0])] * 2 + [(0, [0.0, -1.0, 0.0, 0.0])]
+    embeddings = pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))})
+    with duckdb.connect() as con:
+        con.register("embeddings", embeddings)
+        want = sorted(con.execute(exact_top_k()).fetchall())
+    assert run(spark, rows, cell_rows=20, block_rows=50, query_rows=16) == want
