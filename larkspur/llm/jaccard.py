@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, parts, text_or_empty
@@ -303,6 +304,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose id is their component's; every column of ``docs``. A null id is kept."""
-    found = jaccard_components(docs, **options).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """One row of each component, that of the smallest id (null last); every column of ``docs``. Texts without words all stay.
+
+    Rows are told apart by a 64-bit hash of id and text, so rows that share an id are decided one by one."""
+    row = F.xxhash64("doc_id", text_or_empty())
+    found = jaccard_components(docs.select(row.alias("doc_id"), "text"), **options).filter("n_shingles > 0")
+    found = checkpointed(found.groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count(F.lit(1)).alias("rows")))
+    ids = docs.select(row.alias("__row"), "doc_id").groupBy("__row").agg(F.first("doc_id").alias("doc_id"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
+    kept = found.join(ids, "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("kept"))
+    gone = found.join(kept, "component_id").filter("__row <> kept").select("__row")
+    left = docs.withColumn("__row", row).join(gone, "__row", "left_anti")
+    repeated = found.filter("rows > 1").select("__row")
+    first = Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns))
+    many = left.join(repeated, "__row", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n <= 1").drop("__n")
+    return left.join(repeated, "__row", "left_anti").unionByName(many).select(*docs.columns)

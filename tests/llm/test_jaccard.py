@@ -126,3 +126,10 @@ def test_whole_table(spark):
 
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert sorted(map(tuple, queries()["op7_ngram_jaccard"](spark, "/root/testdata/sf0.001").collect())) == brute(rows, 4, 85, 100)
+
+
+def test_one_of_each_decides_by_row(documents):
+    copied, own = "a b c d e f g h", "one text that nobody else has"
+    rows = [(3, copied), (5, copied), (5, own), (7, "said twice here"), (7, "said twice here"), (None, "no id at all"), (None, "no id at all"), (None, copied), (8, ""), (8, "")]
+    kept = sorted(((r["doc_id"], r["text"]) for r in one_of_each(documents(rows)).collect()), key=str)
+    assert kept == sorted([(3, copied), (5, own), (7, "said twice here"), (None, "no id at all"), (8, ""), (8, "")], key=str)
