@@ -16,17 +16,26 @@ WHITESPACE_RUN = r"[ \t\n\x0B\f\r]+"
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is set. Spark's cleaner removes the files once the
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the
+    master is local (tests on one machine) a temporary folder is set. Spark's cleaner removes the files once the
     returned DataFrame and its descendants are garbage.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name like ``base`` that ``df`` does not have."""
+    have, name = {c.lower() for c in df.columns}, f"_{base}"
+    while name in have:
+        name = f"_{name}"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

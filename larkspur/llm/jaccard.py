@@ -1,25 +1,32 @@
 """Exact n-gram Jaccard self-join by a token-group matrix, reported as components of links.
 
-Similar documents are gathered into groups first: documents with an equal smallest shingle under one
-of two hash orders are compared with a few pivots of their block, and true links merge them; then
-groups whose members meet under further orders are compared by one member each. Every
-later question is then one of a document against a whole group. The token-group matrix has, for each
-group, the union of its members' tokens. Two documents that link share at least ``MATCHES`` tokens of
-their prefixes (the first n - a + MATCHES tokens in one global order, a = least overlap), so the rows
-of the matrix for prefix tokens give all pairs (document, other group) that may link and a first bound.
-Only those groups are opened: the document's overlap with the group's full union is bounded, and
-members of the groups that still qualify are compared exactly.
-
-Work on copies: equal sets are one representative from the start, so copies make no pairs. Blocks of a
-group are cut by shingles, queries of a group by number; a group of any size is many tasks. The global
-order puts frequent tokens last. The frequencies (of at most ``most_frequent`` tokens, counted over all
-documents) only guide the order and so the cost: any order gives the same links.
+Two documents that link share at least ``MATCHES`` tokens of their prefixes (the first n - a + MATCHES
+tokens in one global order that puts frequent tokens last, a = least overlap). Documents of equal sets
+are one representative; then
+
+1. similar documents are gathered: a document joins the group of the prefix token that it shares with the
+   most documents, and a group of more than ``BLOCK_SHINGLES`` shingles is cut into several that have one
+   pivot in common. A group's members are compared with each other where they meet, and the group's token
+   union is stored, packed;
+2. the rows of the token-group matrix for prefix tokens tell which other groups a document shares
+   ``MATCHES`` of them with: those it asks. Of two groups the smaller one's documents ask, and of two
+   that have their largest component in common, the documents outside it, each group's the other's;
+3. an asking document's packed shingles meet the group's stored union: that bounds the overlap with every
+   member. No member is read for it;
+4. only the groups that qualify are opened: their members are compared exactly with those who ask.
+
+A question is one of a document against a whole group, so a cluster makes rows in proportion to its
+documents times the few groups it was cut into, never pairs. A group of any size is many tasks: its blocks,
+and for each block turns of at most ``QUERIES`` documents that ask. The frequencies (of at most
+``most_frequent`` tokens, counted over all documents) guide the order only, and so the cost: any order
+gives the same links.
 
 Defined results
 * null or empty text, or white space alone: no shingles, linked with nothing, its own component.
 * rows that share an id are one document with several texts; a null id links with nothing (component null).
 * equal rows and ties are links like any other; empty table: no rows. Other columns are not read.
-* shingles are 64-bit hashes; different ones coincide with probability about 2**-64 a pair.
+* shingles are 64-bit hashes, sets 128-bit ones; different ones coincide with probability about 2**-64 a pair.
+* components are reported, not the number of links: inside a group most pairs of one component are never compared.
 """
 
 from __future__ import annotations
@@ -33,26 +40,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, parts, text_or_empty
+from .common import checkpointed, fresh, parts, text_or_empty
 from .graph import components
-from .shingles import mixed, shingle_sets
+from .shingles import shingle_sets
 
 MATCHES = 3
 PIVOTS = 6
-BLOCK_SHINGLES = 100_000
-#: A group that is opened is cut into larger blocks: every document that asks for it goes to each of them.
-OPEN_SHINGLES = 1_000_000
+BLOCK_SHINGLES = 500_000
 QUERIES = 2_000
-ORDERS = (0, 0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
-#: The first so many orders gather documents, the others gather what is left apart: groups, one member each.
-FIRST_ORDERS = 2
-#: A side of at most so many narrow rows may be broadcast; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most so many bytes, counted, is broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
+_WIDTHS = {"bigint": 8, "int": 8, "boolean": 8, "binary": 40}
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """``df`` (already materialised), marked for broadcast if it was counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """``df`` (already materialised, of narrow columns), marked for broadcast if it was counted to be small."""
+    width = 16 + sum(_WIDTHS[kind] for _, kind in df.dtypes)
+    return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
 
 
 def _texts(batch: pa.RecordBatch, name: str, at: int, step: int) -> list[bytes]:
@@ -71,9 +75,12 @@ def frequent_tokens(docs: DataFrame, n: int, most: int, local: int = 4, flush: i
         held, size = [], 0
 
         def counted() -> pa.RecordBatch:
-            tokens, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.array([], np.uint64), np.array([], np.int64))
+            tokens = np.concatenate(held) if held else np.array([], np.uint64)
+            tokens.sort()
+            start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1]))) if len(tokens) else np.array([], np.int64)
+            times = np.diff(np.append(start, len(tokens)))
             often = times >= local
-            return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(times[often])], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(tokens[start[often]].view(np.int64)), pa.array(times[often])], schema=schema)
 
         for batch in batches:
             for at in range(0, len(batch), 500):
@@ -85,8 +92,8 @@ def frequent_tokens(docs: DataFrame, n: int, most: int, local: int = 4, flush: i
                     held, size = [], 0
         yield counted()
 
-    rows = _raw(docs).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(most).collect()
-    tokens, times = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64), np.array([r["n"] for r in rows], dtype=np.int64)
+    rows = _raw(docs).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(most).toArrow()
+    tokens, times = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], times[order]
 
@@ -100,35 +107,43 @@ def smallest_linkable(num: int, den: int) -> int:
     return -(-num // (den - num)) if den > num else 1 << 62
 
 
+def _fingerprint(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def sketches(docs: DataFrame, n: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray], matches: int) -> DataFrame:
-    """doc_id, n, fp (128 bits of the set), mins (smallest token under each order), prefix (tokens, packed)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("mins", pa.list_(pa.int64())), ("prefix", pa.binary())])
+    """doc_id, n, fp (128 bits of the set), prefix (tokens; empty if no different set can link)."""
     tokens, times = frequent
     least = smallest_linkable(num, den)
+    none = np.array([], np.uint64)
 
-    def row(doc, s: np.ndarray) -> tuple:
+    def prefix(s: np.ndarray) -> np.ndarray:
         size = len(s)
-        mins, prefix = None, b""
-        if size >= least:
-            mins = [int((s if not o else mixed(s ^ np.uint64(o))).min().view(np.int64)) for o in ORDERS]
-            rank = np.zeros(size, dtype=np.int64)
-            if len(tokens):
-                at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                rank = np.where(tokens[at] == s, times[at], 0)
-            prefix = s[np.argsort(rank, kind="stable")[: size - least_overlap(size, num, den) + matches]].tobytes()
-        return doc, size, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), mins, prefix
+        if size < least:
+            return none
+        rank = np.zeros(size, dtype=np.int64)
+        if len(tokens):
+            at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+            rank = np.where(tokens[at] == s, times[at], 0)
+        return s[np.argsort(rank, kind="stable")[: size - least_overlap(size, num, den) + matches]]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1000):
-                rows = [row(d, s) for d, s in zip(batch.column(0).slice(at, 1000).to_pylist(), shingle_sets(_texts(batch, "text", at, 1000), n))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                sizes, prints, prefixes = [], [], []
+                for s in shingle_sets(_texts(batch, "text", at, 1000), n):
+                    sizes.append(len(s))
+                    prints.append(_fingerprint(s))
+                    prefixes.append(prefix(s))
+                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *prefixes]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), listed], names=["doc_id", "n", "fp", "prefix"])
 
-    return _raw(docs).mapInArrow(sketch, "doc_id long, n long, fp binary, mins array<long>, prefix binary")
+    return _raw(docs).mapInArrow(sketch, "doc_id long, n long, fp binary, prefix array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of the rows of one key each, from batches sorted by key; whole small keys come many to a table's scan."""
+    """Tables of the rows of one key each, from batches sorted by key."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
@@ -153,15 +168,12 @@ class _Block:
 
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        self.flat = np.concatenate(sets) if sets else np.array([], np.uint64)
-        self.owner = np.repeat(np.arange(len(sets)), self.sizes)
-        self.order = None
+        flat = np.concatenate(sets) if sets else np.array([], np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
 
     def overlaps(self, s: np.ndarray) -> np.ndarray:
         """Overlap of every member with ``s``; by postings, in time of the matches."""
-        if self.order is None:
-            self.order = np.argsort(self.flat, kind="stable")
-            self.flat, self.owner = self.flat[self.order], self.owner[self.order]
         low, high = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
         hit = high > low
         low, count = low[hit], (high - low)[hit]
@@ -170,152 +182,206 @@ class _Block:
         at = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         return np.bincount(self.owner[at], minlength=len(self.sizes))
 
+    def linked(self, s: np.ndarray, num: int, den: int) -> np.ndarray:
+        both = self.overlaps(s)
+        return np.flatnonzero(den * both >= num * (self.sizes + len(s) - both))
+
     def union(self) -> np.ndarray:
-        self.overlaps(np.array([], np.uint64))
         return self.flat[np.concatenate(([True], self.flat[1:] != self.flat[:-1]))] if len(self.flat) else self.flat
 
 
-_EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=np.uint64) for x in column.to_pylist()]
+
+
+def block_components(block: _Block, sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """The component of every member, as the place of its first one.
+
+    A few pivots gather most members; then all outside the largest component are compared with the whole
+    block. A link that stays unseen has both its ends in that component."""
+    root = np.arange(len(sets))
 
+    def ask(i: int) -> None:
+        touched = np.unique(root[np.append(block.linked(sets[i], num, den), i)])
+        if len(touched) > 1:
+            root[np.isin(root, touched)] = touched[0]
 
-def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=_EDGES)
+    asked = np.zeros(len(sets), dtype=bool)
+    for _ in range(min(PIVOTS, len(sets))):
+        sizes = np.bincount(root, minlength=len(sets))
+        pivot = int(np.argmin(sizes[root] + np.where(asked, len(sets) + 1, 0)))
+        ask(pivot)
+        asked[pivot] = True
+    largest = np.argmax(np.bincount(root, minlength=len(sets)))
+    for i in np.flatnonzero((root != largest) & ~asked):
+        ask(int(i))
+    return root
 
 
-def _similar_groups(keyed: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Stars (a < b) of the components found by comparing each smallest-token group with a few pivots of its block.
+_INSIDE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("grp", pa.int64()), ("tokens", pa.binary())])
 
-    ``keyed``: doc_id, n, o (order), m (its smallest token)."""
-    groups = keyed.groupBy("o", "m").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.min("doc_id").alias("pivot")).filter("size > 1")
-    placed = keyed.join(groups, ["o", "m"])
-    blocks = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
-    placed = placed.select("o", "m", F.explode(blocks).alias("block"), "doc_id", (F.col("doc_id") == F.col("pivot")).alias("first"))
+
+def _inside_groups(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Of every group: a star (a < b) of each component of its members, and a row with its token union."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[tuple[int, int]] = []
-        for group in _runs(batches, ["o", "m", "block"]):
-            if len(group) < 2:
-                continue
-            ids = group["doc_id"].to_numpy()
-            block = _Block(sets := list(shingle_sets(group["text"].to_pylist(), n)))
-            rest = np.ones(len(ids), dtype=bool)
-            pivot = int(np.argmax(group["first"].to_numpy(zero_copy_only=False)))
-            for _ in range(PIVOTS):
-                both = block.overlaps(sets[pivot])
-                linked = rest & (den * both >= num * (block.sizes + block.sizes[pivot] - both))
-                linked[pivot] = True
-                least = int(ids[linked].min())  # the star of a pivot is told from its least member
-                pairs += [(least, int(x)) for x in ids[linked] if x != least]
-                rest &= ~linked
-                if rest.sum() < 2:
-                    break
-                pivot = int(np.argmax(rest))
-            if len(pairs) > 10_000:
-                yield _edges(pairs)
-                pairs = []
-        yield _edges(pairs)
-
-    texts = _raw(docs).join(_small(checkpointed(placed)), "doc_id")
-    keys = ["o", "m", "block"]
-    return texts.repartition(parts(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
-
-
-def _open_groups(tokens: DataFrame, members: DataFrame, docs: DataFrame, n: int, num: int, den: int, matches: int) -> DataFrame:
-    """Links between documents and other groups. ``tokens``: token, doc_id, grp, size; ``members``: doc_id, n, grp, size."""
-    contested = tokens.groupBy("token").agg(F.min("grp").alias("least"), F.max("grp").alias("most")).filter("least < most").select("token")
-    held = checkpointed(tokens.join(_small(checkpointed(contested)), "token"))
-    columns = held.groupBy("token", "grp", "size").agg(F.lit(1).alias("x")).select("token", F.col("grp").alias("other"), F.col("size").alias("other_size"))
-    asks = held.join(columns, "token").filter(F.struct("other_size", "other") > F.struct("size", "grp"))
-    asked = checkpointed(asks.groupBy("doc_id", "other").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= matches).select("doc_id", "other"))
-
-    load = asked.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("turns"))
-    opened = members.join(load, members["grp"] == load["other"]).drop("other")
-    blocks = opened.groupBy("grp").agg(F.ceil(F.sum("n") / OPEN_SHINGLES).cast("int").alias("blocks"), F.first("turns").alias("turns"))
-    all_of = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
-    inside = opened.drop("turns").join(blocks, "grp").select("grp", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), F.explode(all_of("turns")).alias("turn"), "doc_id", F.lit(True).alias("member"))
-    queries = asked.join(blocks, asked["other"] == blocks["grp"]).select("grp", F.explode(all_of("blocks")).alias("block"), F.pmod(F.xxhash64("doc_id"), F.col("turns")).cast("int").alias("turn"), "doc_id", F.lit(False).alias("member"))
+        rows: list[tuple] = []
+        for group in _runs(batches, ["grp"]):
+            ids, sets = group["doc_id"].to_numpy(), _sets(group["tokens"])
+            block = _Block(sets)
+            root = block_components(block, sets, num, den)
+            order = np.lexsort((ids, root))
+            least = ids[order][np.searchsorted(root[order], root)]
+            rows += [(int(a), int(b), None, None) for a, b in zip(least[least != ids], ids[least != ids])]
+            rows.append((None, None, int(group["grp"][0].as_py()), block.union().tobytes()))
+            if len(rows) > 2_000 or len(rows[-1][3]) > 1 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _INSIDE.types)], schema=_INSIDE)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _INSIDE.types)], schema=_INSIDE)
+
+    placed = members.select("grp", "doc_id", "tokens").repartition(parts(members.sparkSession), "grp").sortWithinPartitions("grp")
+    return placed.mapInArrow(compare, "a long, b long, grp long, tokens binary")
+
+
+def _turns(load: DataFrame) -> DataFrame:
+    """grp and every turn of the documents that ask it; ``load``: fp, grp."""
+    return load.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("turns"))
+
+
+def _asking(load: DataFrame, turns: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of the documents that ask: grp, turn, own (false), fp, class, tokens."""
+    load = load.join(turns, "grp").select("fp", "grp", F.pmod(F.xxhash64("fp"), F.col("turns")).cast("int").alias("turn"))
+    return sets.select("fp", "class", "tokens").join(_small(checkpointed(load)), "fp").select("grp", "turn", F.lit(False).alias("own"), "fp", "class", "tokens")
+
+
+def _met(own: DataFrame, turns: DataFrame, asking: DataFrame) -> DataFrame:
+    """Each turn of a group: the group's own rows, then those who ask."""
+    own = own.join(turns, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(True).alias("own"), "fp", "class", "tokens")
+    return own.unionByName(asking).repartition(parts(own.sparkSession), "grp", "turn").sortWithinPartitions("grp", "turn", F.col("own").desc())
+
+
+def _qualifying(asked: DataFrame, unions: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``asked`` (fp, grp) whose overlap with the group's union may suffice."""
+    schema = pa.schema([("fp", pa.binary()), ("grp", pa.int64())])
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for turn in _runs(batches, ["grp", "turn"]):
+            union, *asking = _sets(turn["tokens"])
+            kept = []
+            for i, s in enumerate(asking, 1):
+                at = np.minimum(np.searchsorted(union, s), len(union) - 1)
+                if np.count_nonzero(union[at] == s) >= least_overlap(len(s), num, den):
+                    kept.append(i)
+            yield turn.select(["fp", "grp"]).take(kept).combine_chunks().cast(schema).to_batches()[0] if kept else pa.RecordBatch.from_pylist([], schema=schema)
+
+    turns = checkpointed(_turns(asked))
+    own = unions.withColumn("fp", F.lit(None).cast("binary")).withColumn("class", F.lit(None).cast("long"))
+    return _met(own, _small(turns), _asking(asked, turns, sets)).mapInArrow(bound, "fp binary, grp long")
+
+
+def _opened(passed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) between components, from the exact comparison of documents (fp) with members of other groups (grp)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[tuple[int, int]] = []
-        for group in _runs(batches, ["grp", "block", "turn"]):
-            own = group["member"].to_numpy(zero_copy_only=False)
-            if own.all() or not own.any():
-                continue
-            ids, texts = group["doc_id"].to_numpy(), group["text"].to_pylist()
-            inner, outer = np.flatnonzero(own), np.flatnonzero(~own)
-            block = _Block(list(shingle_sets([texts[i] for i in inner], n)))
-            union = block.union()
-            for q, s in zip(outer, shingle_sets([texts[i] for i in outer], n)):
-                bound = np.count_nonzero(union[np.minimum(np.searchsorted(union, s), len(union) - 1)] == s)
-                if bound < least_overlap(len(s), num, den):
-                    continue
-                both = block.overlaps(s)
-                linked = np.flatnonzero(den * both >= num * (block.sizes + len(s) - both))
-                if len(linked):
-                    pairs.append((int(ids[q]), int(ids[inner[linked[0]]])))
-            if len(pairs) > 10_000:
-                yield _edges(pairs)
-                pairs = []
-        yield _edges(pairs)
-
-    keys = ["grp", "block", "turn"]
-    texts = _raw(docs).join(_small(checkpointed(inside.unionByName(queries))), "doc_id")
-    return texts.repartition(parts(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(solve, "a long, b long")
+        for turn in _runs(batches, ["grp", "turn"]):
+            own, classes, sets = turn["own"].to_numpy(zero_copy_only=False), turn["class"].to_numpy(), _sets(turn["tokens"])
+            inner = np.flatnonzero(own)
+            block = _Block([sets[i] for i in inner])
+            pairs = {(int(classes[i]), int(c)) for i in np.flatnonzero(~own) for c in np.unique(classes[inner[block.linked(sets[i], num, den)]])}
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=schema)
+
+    turns = checkpointed(_turns(passed))
+    return _met(sets, _small(turns), _asking(passed, turns, sets)).mapInArrow(solve, "a long, b long").filter("a <> b").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, most_frequent: int = 100_000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; documents link when den * overlap >= num * union."""
     matches = MATCHES if least_overlap(smallest_linkable(num, den), num, den) >= MATCHES else 1
     all_docs = checkpointed(sketches(docs, n, num, den, frequent_tokens(docs, n, most_frequent), matches))
-    # The prefixes stay where they are until their group is known: they are the bulk of a sketch.
-    reps = all_docs.filter("n > 0 and doc_id is not null").groupBy("fp").agg(F.min(F.struct("doc_id", "n", "mins")).alias("r")).select("fp", "r.*")
-    reps = checkpointed(reps)
-
-    keyed = reps.filter("mins is not null").select("doc_id", "n", F.posexplode("mins").alias("o", "m"))
-    links = checkpointed(_similar_groups(keyed.filter(F.col("o") < FIRST_ORDERS), docs, n, num, den))
-    # The least document of its stars stands for a document's group here; it only chooses who is compared next.
-    label = links.groupBy(F.col("b").alias("doc_id")).agg(F.min("a").alias("label"))
-    apart = keyed.filter(F.col("o") >= FIRST_ORDERS).join(label, "doc_id", "left").groupBy("o", "m", F.coalesce("label", "doc_id").alias("grp"))
-    apart = apart.agg(F.min(F.struct("doc_id", "n")).alias("r")).select("r.*", "o", "m")
-    more = _similar_groups(apart, docs, n, num, den).unionByName(links)
-    near = components(more)
-    grouped = reps.select("fp", "doc_id", "n").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id"))
-    sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    grouped = checkpointed(grouped.join(sizes, "grp").select("fp", "doc_id", "n", "grp", "size"))
-    schema = pa.schema([(c, pa.int64()) for c in ("token", "doc_id", "grp", "size")])
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = all_docs.filter("n > 0 and doc_id is not null")
+    reps = checkpointed(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")))
+
+    # Prefix tokens that two sets share.
+    copied = _small(checkpointed(reps.filter("rows > 1").select("fp", "rep")))
+    prefixes = known.filter(F.size("prefix") > 0).join(copied, "fp", "left").filter("rep is null or rep = doc_id")
+    tokens = prefixes.select("fp", F.explode("prefix").alias("token"))
+    shared = checkpointed(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    held = checkpointed(tokens.join(_small(shared), "token").distinct())
+
+    # Groups: by the most shared token of a document, cut into blocks.
+    family = held.groupBy("fp").agg(F.max(F.struct("times", "token"))["token"].alias("family"))
+    of = checkpointed(family.join(reps, "fp").select("fp", F.col("rep").alias("doc_id"), "n", "family"))
+    cut = of.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.min(F.struct("doc_id", "fp"))["fp"].alias("pivot"))
+    group = lambda block: F.when(F.col("blocks") == 1, F.col("family")).otherwise(F.xxhash64("family", block)).alias("grp")
+    own_block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    placed = checkpointed(of.join(cut, "family").select("fp", "doc_id", group(own_block), F.col("fp") == F.col("pivot"), "family", "blocks").toDF("fp", "doc_id", "grp", "first", "family", "blocks"))
+
+    # The sets of those documents, and their comparison inside the groups.
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 500):
-                part = batch.slice(at, 500)
-                packed = part.column(0).to_pylist()
-                times = np.array([len(p) // 8 for p in packed])
-                rest = [pa.array(np.repeat(np.asarray(part.column(i)), times)) for i in (1, 2, 3)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(packed), dtype=np.int64)), *rest], schema=schema)
-
-    prefixes = all_docs.filter(F.octet_length("prefix") > 0).select("fp", "doc_id", "prefix").join(grouped.select("fp", "doc_id", "grp", "size"), ["fp", "doc_id"])
-    tokens = prefixes.select("prefix", "doc_id", "grp", "size").mapInArrow(spread, "token long, doc_id long, grp long, size long")
-    far = _open_groups(tokens, grouped.drop("fp"), docs, n, num, den, matches)
-    joined = components(far.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    classes = reps.select("fp", F.col("doc_id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("class"))
-    out = all_docs.select("doc_id", "n", "fp").join(classes, "fp", "left")
-    alone = F.col("n") == 0
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("class")).alias("component_id"))
+                prints = batch.column(1).slice(at, 500).to_pylist()
+                found = list(shingle_sets(_texts(batch, "text", at, 500), n))
+                mine = [i for i, s in enumerate(found) if _fingerprint(s) == prints[i]]  # an id may have several texts
+                yield pa.RecordBatch.from_arrays([pa.array([prints[i] for i in mine], pa.binary()), batch.column(0).slice(at, 500).take(pa.array(mine, pa.int64())), pa.array([found[i].tobytes() for i in mine], pa.binary())], names=["fp", "grp", "tokens"])
+
+    where = _small(placed.select("doc_id", F.col("fp"), "grp"))
+    found = _raw(docs).join(where, "doc_id").select("grp", "fp", "text").mapInArrow(packed, "fp binary, grp long, tokens binary")
+    sets = checkpointed(found.groupBy("fp").agg(F.first("grp").alias("grp"), F.first("tokens").alias("tokens")))
+    home = sets.join(_small(placed.select("fp", "doc_id")), "fp")
+    guests = placed.filter("first and blocks > 1").select("fp", "doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: group(b))).alias("to"), "grp").filter("to <> grp")
+    guests = home.select("fp", "doc_id", "tokens").join(_small(checkpointed(guests.select("fp", F.col("to").alias("grp")))), "fp")
+    inside = checkpointed(_inside_groups(home.select("grp", "doc_id", "tokens").unionByName(guests.select("grp", "doc_id", "tokens")), num, den))
+    near = components(inside.filter("a is not null").select("a", "b"))
+
+    # The matrix: who asks which other group.
+    classed = placed.select("fp", "doc_id", "grp").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", "grp", F.coalesce("component", "doc_id").alias("class"))
+    classed = checkpointed(classed)
+    counts = classed.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("size"))
+    mains = counts.groupBy("grp").agg(F.max(F.struct("size", "class"))["class"].alias("main"), F.sum("size").alias("size"))
+    seat = checkpointed(classed.join(mains, "grp").select("fp", "grp", "class", "main", "size"))
+    rows = held.select("token", "fp").join(_small(seat), "fp")
+    contested = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("token")
+    rows = checkpointed(rows.join(_small(checkpointed(contested)), "token"))
+    columns = rows.groupBy("token", "grp").agg(F.first("main").alias("other_main"), F.first("size").alias("other_size")).withColumnRenamed("grp", "other")
+    same = F.col("main") == F.col("other_main")
+    asks = F.when(same, F.col("class") != F.col("main")).otherwise(F.struct("other_size", "other") > F.struct("size", "grp"))
+    joined = rows.alias("r").join(columns.alias("c"), (F.col("r.token") == F.col("c.token")) & (F.col("other") != F.col("grp")) & asks)
+    asked = checkpointed(joined.groupBy("fp", F.col("other").alias("grp")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= matches).select("fp", "grp"))
+
+    classy = sets.join(_small(classed.select("fp", "class")), "fp")
+    passed = checkpointed(_qualifying(asked, inside.filter("grp is not null").select("grp", "tokens"), classy, num, den))
+    far = checkpointed(_opened(passed, classy, num, den))
+
+    # An id with several texts ties them together.
+    several = known.groupBy("doc_id").agg(F.min(F.xxhash64("fp")).alias("lo"), F.max(F.xxhash64("fp")).alias("hi")).filter("lo < hi").select("doc_id")
+    tied = known.select("doc_id", "fp").join(_small(checkpointed(several)), "doc_id").join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    every = components(far.unionByName(near.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(tied))
+    classes = reps.join(_small(checkpointed(every.withColumnRenamed("node", "rep"))), "rep", "left").filter("rows > 1 or component is not null")
+    classes = checkpointed(classes.select("fp", F.coalesce("component", "rep").alias("class")))
+    out = all_docs.select("doc_id", "n", "fp").join(_small(classes), "fp", "left")
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("class", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One row of each component, that of the smallest id (null last); every column of ``docs``. Texts without words all stay.
 
     Rows are told apart by a 64-bit hash of id and text, so rows that share an id are decided one by one."""
-    row = F.xxhash64("doc_id", text_or_empty())
+    row, name = F.xxhash64("doc_id", text_or_empty()), fresh(docs, "row")
     found = jaccard_components(docs.select(row.alias("doc_id"), "text"), **options).filter("n_shingles > 0")
-    found = checkpointed(found.groupBy(F.col("doc_id").alias("__row"), "component_id").agg(F.count(F.lit(1)).alias("rows")))
-    ids = docs.select(row.alias("__row"), "doc_id").groupBy("__row").agg(F.first("doc_id").alias("doc_id"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    kept = found.join(ids, "__row").groupBy("component_id").agg(F.min(order)["__row"].alias("kept"))
-    gone = found.join(kept, "component_id").filter("__row <> kept").select("__row")
-    left = docs.withColumn("__row", row).join(gone, "__row", "left_anti")
-    repeated = found.filter("rows > 1").select("__row")
-    first = Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns))
-    many = left.join(repeated, "__row", "left_semi").withColumn("__n", F.row_number().over(first)).filter("__n <= 1").drop("__n")
-    return left.join(repeated, "__row", "left_anti").unionByName(many).select(*docs.columns)
+    found = checkpointed(found.groupBy(F.col("doc_id").alias("row"), "component_id").agg(F.count(F.lit(1)).alias("rows")))
+    single = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("component_id")
+    several = checkpointed(found.join(_small(checkpointed(single)), "component_id").select("row", "component_id"))
+    ids = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id")).join(_small(several), "row").groupBy("row", "component_id").agg(F.first("doc_id").alias("doc_id"))
+    ids = checkpointed(ids)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = ids.groupBy("component_id").agg(F.min(order)["row"].alias("kept"))
+    gone = checkpointed(ids.join(kept, "component_id").filter("row <> kept").select(F.col("row").alias(name)))
+    left = docs.withColumn(name, row).join(_small(gone), name, "left_anti")
+    repeated = _small(checkpointed(found.filter("rows > 1").select(F.col("row").alias(name))))
+    place, columns = fresh(docs, "place"), [F.col(c) for c in docs.columns]
+    many = left.join(repeated, name, "left_semi").withColumn(place, F.row_number().over(Window.partitionBy(name).orderBy(F.xxhash64(*columns)))).filter(F.col(place) == 1).drop(place)
+    return left.join(repeated, name, "left_anti").unionByName(many).select(*columns)

@@ -99,7 +99,6 @@ def planted(seed):
 @pytest.mark.parametrize("n,num,den", [(4, 85, 100), (5, 80, 100), (2, 60, 100)])
 def test_links_against_brute_force(spark, documents, monkeypatch, n, num, den):
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 3000)
-    monkeypatch.setattr(jaccard, "OPEN_SHINGLES", 3000)
     monkeypatch.setattr(jaccard, "QUERIES", 5)
     rows = planted(n)
     got = sorted(map(tuple, jaccard_components(documents(rows), n, num, den, most_frequent=50).collect()))
@@ -107,12 +106,34 @@ def test_links_against_brute_force(spark, documents, monkeypatch, n, num, den):
 
 
 def test_without_help_from_grouping(documents, monkeypatch):
-    """The token-group matrix alone finds every link."""
-    monkeypatch.setattr(jaccard, "_similar_groups", lambda keyed, *_: keyed.limit(0).selectExpr("doc_id a", "doc_id b"))
+    """The token-group matrix alone finds every link: each document is a group of its own, with the pivot as its guest."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 1)
     rows = planted(9)
     assert sorted(map(tuple, jaccard_components(documents(rows), 4, 85, 100).collect())) == brute(rows, 4, 85, 100)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_block_components(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: 60 - k], rng.integers(0, 2**63, k).astype(np.uint64)])) for k in rng.integers(0, 12, 40)]
+    got = jaccard.block_components(jaccard._Block(sets), sets, 85, 100)
+    want = np.arange(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                want[want == want[i]] = want[j]
+    same = lambda c: [[bool(x == y) for y in c] for x in c]
+    assert same(got) == same(want)
+
+
+def test_ids_with_several_texts_tie_them(documents):
+    one, two = "a b c d e f g h", "p q r s t u v w"
+    rows = jaccard_components(documents([(9, one), (3, one), (9, two), (7, two), (8, "alone here with words")])).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(3, 3), (7, 3), (8, 8), (9, 3), (9, 3)]
+
+
 def test_edges_of_the_contract(documents):
     assert jaccard_components(documents([])).collect() == []
     rows = jaccard_components(documents([(5, "x y z"), (5, "x y z"), (3, "x y z"), (None, "x y z"), (1, None)])).collect()
