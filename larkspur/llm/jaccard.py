@@ -1,15 +1,15 @@
 """Exact n-gram Jaccard self-join by a token-group matrix, reported as components of links.
 
-Two documents that link share at least ``MATCHES`` tokens of their prefixes (the first n - a + MATCHES
-tokens in one global order that puts frequent tokens last, a = least overlap). Documents of equal sets
-are one representative; then
-
-1. similar documents are gathered: a document joins the group of the prefix token that it shares with the
-   most documents, and a group of more than ``BLOCK_SHINGLES`` shingles is cut into several that have one
-   pivot in common. A group's members are compared with each other where they meet, and the group's token
-   union is stored, packed;
+Two documents that link share at least k tokens of their prefixes (the first n - a + k tokens in one
+global order that puts frequent tokens last, a = least overlap, k = ``MATCHES`` and one more for every
+``SIZE_A_MATCH`` shingles of the smaller). Documents of equal sets are one representative; then
+
+1. similar documents are gathered: a document that has k prefix tokens which others have, too, joins the
+   group of the one that most documents have, and a group of more than ``BLOCK_SHINGLES`` shingles is cut
+   into several that have one pivot in common. A group's members are compared with each other where they
+   meet, and the group's token union is stored, packed;
 2. the rows of the token-group matrix for prefix tokens tell which other groups a document shares
-   ``MATCHES`` of them with: those it asks. Of two groups the smaller one's documents ask, and of two
+   k of them with: those it asks. Of two groups the smaller one's documents ask, and of two
    that have their largest component in common, the documents outside it, each group's the other's;
 3. an asking document's packed shingles meet the group's stored union: that bounds the overlap with every
    member. No member is read for it;
@@ -36,21 +36,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, parts, text_or_empty
+from .common import checkpointed, fresh, let, parts, text_or_empty
 from .graph import components
 from .shingles import shingle_sets
 
 MATCHES = 3
+#: So many shingles of a document ask for one more shared token, which documents that have a passage in common do not reach.
+SIZE_A_MATCH = 16
 PIVOTS = 6
 BLOCK_SHINGLES = 500_000
 QUERIES = 2_000
 #: A side of at most so many bytes, counted, is broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 16 << 20
-_WIDTHS = {"bigint": 8, "int": 8, "boolean": 8, "binary": 40}
+_WIDTHS = {"bigint": 8, "int": 8, "boolean": 8, "binary": 24}
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -111,21 +112,37 @@ def _fingerprint(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def shared_least(n: int, num: int, den: int, matches: int) -> int:
+    """The tokens that the prefixes of a document of ``n`` shingles and a linked one of as many or more surely share."""
+    return min(least_overlap(n, num, den), matches + n // SIZE_A_MATCH)
+
+
+def _shared_least(n: Column, num: int, den: int, matches: int) -> Column:
+    """The least of ``shared_least`` over all sizes that a partner of ``n`` shingles may have."""
+    overlap = lambda x: F.call_function("div", x * num + (den - 1), F.lit(den))
+    return let(overlap(n), lambda m: F.least(overlap(m), F.lit(matches) + F.call_function("div", m, F.lit(SIZE_A_MATCH))))
+
+
 def sketches(docs: DataFrame, n: int, num: int, den: int, frequent: tuple[np.ndarray, np.ndarray], matches: int) -> DataFrame:
-    """doc_id, n, fp (128 bits of the set), prefix (tokens; empty if no different set can link)."""
+    """doc_id, n, fp (128 bits of the set), and the prefix: rare tokens, frequent ones and their counts (empty if no different set can link)."""
     tokens, times = frequent
     least = smallest_linkable(num, den)
-    none = np.array([], np.uint64)
+    none, zero = np.array([], np.uint64), np.array([], np.int64)
 
-    def prefix(s: np.ndarray) -> np.ndarray:
+    def prefix(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         size = len(s)
         if size < least:
-            return none
+            return none, none, zero
         rank = np.zeros(size, dtype=np.int64)
         if len(tokens):
             at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
             rank = np.where(tokens[at] == s, times[at], 0)
-        return s[np.argsort(rank, kind="stable")[: size - least_overlap(size, num, den) + matches]]
+        order = np.argsort(rank, kind="stable")[: size - least_overlap(size, num, den) + shared_least(size, num, den, matches)]
+        rare = np.count_nonzero(rank[order] == 0)
+        return s[order[:rare]], s[order[rare:]], rank[order[rare:]]
+
+    def listed(arrays: list[np.ndarray], of: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate([of, *arrays]).view(np.int64)))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,11 +152,10 @@ def sketches(docs: DataFrame, n: int, num: int, den: int, frequent: tuple[np.nda
                     sizes.append(len(s))
                     prints.append(_fingerprint(s))
                     prefixes.append(prefix(s))
-                ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([none, *prefixes]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), listed], names=["doc_id", "n", "fp", "prefix"])
+                lists = [listed(list(x), of) for x, of in zip(zip(*prefixes), (none, none, zero))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *lists], names=["doc_id", "n", "fp", "rare", "hot", "times"])
 
-    return _raw(docs).mapInArrow(sketch, "doc_id long, n long, fp binary, prefix array<long>")
+    return _raw(docs).mapInArrow(sketch, "doc_id long, n long, fp binary, rare array<long>, hot array<long>, times array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -303,20 +319,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     known = all_docs.filter("n > 0 and doc_id is not null")
     reps = checkpointed(known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count(F.lit(1)).alias("rows")))
 
-    # Prefix tokens that two sets share.
+    # Prefix tokens that others share, of the documents that have enough of them. Frequent ones are taken to be shared.
     copied = _small(checkpointed(reps.filter("rows > 1").select("fp", "rep")))
-    prefixes = known.filter(F.size("prefix") > 0).join(copied, "fp", "left").filter("rep is null or rep = doc_id")
-    tokens = prefixes.select("fp", F.explode("prefix").alias("token"))
-    shared = checkpointed(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    held = checkpointed(tokens.join(_small(shared), "token").distinct())
+    lists = known.filter(F.size("rare") + F.size("hot") > 0).join(copied, "fp", "left")
+    lists = lists.filter("rep is null").unionByName(lists.filter("rep = doc_id").dropDuplicates(["fp"])).select("doc_id", "rare", "hot", "times")
+    rare = lists.select("doc_id", F.explode("rare").alias("token")).withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("times > 1")
+    hot = lists.select("doc_id", F.explode(F.arrays_zip("hot", "times")).alias("x")).select("doc_id", F.col("x.hot").alias("token"), F.col("x.times").alias("times"))
+    sizes = known.groupBy("doc_id").agg(F.min("n").alias("n"))
+    need = _shared_least(F.col("n"), num, den, matches)
+    own = Window.partitionBy("doc_id")
+    held = rare.unionByName(hot).join(sizes, "doc_id").withColumn("held", F.count(F.lit(1)).over(own)).withColumn("family", F.max(F.struct("times", "token")).over(own)["token"])
+    held = checkpointed(held.filter(F.col("held") >= need).select("token", "doc_id", "family"))
 
     # Groups: by the most shared token of a document, cut into blocks.
-    family = held.groupBy("fp").agg(F.max(F.struct("times", "token"))["token"].alias("family"))
-    of = checkpointed(family.join(reps, "fp").select("fp", F.col("rep").alias("doc_id"), "n", "family"))
+    family = held.select("doc_id", "family").distinct()
+    of = checkpointed(family.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id").select("fp", "doc_id", "n", "rows", "family"))
     cut = of.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.min(F.struct("doc_id", "fp"))["fp"].alias("pivot"))
     group = lambda block: F.when(F.col("blocks") == 1, F.col("family")).otherwise(F.xxhash64("family", block)).alias("grp")
     own_block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    placed = checkpointed(of.join(cut, "family").select("fp", "doc_id", group(own_block), F.col("fp") == F.col("pivot"), "family", "blocks").toDF("fp", "doc_id", "grp", "first", "family", "blocks"))
+    placed = of.join(cut, "family").select("fp", "doc_id", "n", "rows", group(own_block), (F.col("fp") == F.col("pivot")).alias("first"), "family", "blocks")
+    placed = checkpointed(placed)
 
     # The sets of those documents, and their comparison inside the groups.
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,9 +349,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 mine = [i for i, s in enumerate(found) if _fingerprint(s) == prints[i]]  # an id may have several texts
                 yield pa.RecordBatch.from_arrays([pa.array([prints[i] for i in mine], pa.binary()), batch.column(0).slice(at, 500).take(pa.array(mine, pa.int64())), pa.array([found[i].tobytes() for i in mine], pa.binary())], names=["fp", "grp", "tokens"])
 
-    where = _small(placed.select("doc_id", F.col("fp"), "grp"))
-    found = _raw(docs).join(where, "doc_id").select("grp", "fp", "text").mapInArrow(packed, "fp binary, grp long, tokens binary")
-    sets = checkpointed(found.groupBy("fp").agg(F.first("grp").alias("grp"), F.first("tokens").alias("tokens")))
+    def texts_of(where: DataFrame) -> DataFrame:
+        return _raw(docs).join(_small(checkpointed(where.select("doc_id", "fp", "grp"))), "doc_id").select("grp", "fp", "text").mapInArrow(packed, "fp binary, grp long, tokens binary")
+
+    repeated = texts_of(placed.filter("rows > 1")).groupBy("fp").agg(F.first("grp").alias("grp"), F.first("tokens").alias("tokens"))
+    sets = checkpointed(texts_of(placed.filter("rows = 1")).unionByName(repeated))
     home = sets.join(_small(placed.select("fp", "doc_id")), "fp")
     guests = placed.filter("first and blocks > 1").select("fp", "doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: group(b))).alias("to"), "grp").filter("to <> grp")
     guests = home.select("fp", "doc_id", "tokens").join(_small(checkpointed(guests.select("fp", F.col("to").alias("grp")))), "fp")
@@ -337,19 +361,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     near = components(inside.filter("a is not null").select("a", "b"))
 
     # The matrix: who asks which other group.
-    classed = placed.select("fp", "doc_id", "grp").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", "grp", F.coalesce("component", "doc_id").alias("class"))
+    classed = placed.select("fp", "doc_id", "n", "grp").join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("fp", "doc_id", need.alias("need"), "grp", F.coalesce("component", "doc_id").alias("class"))
     classed = checkpointed(classed)
     counts = classed.groupBy("grp", "class").agg(F.count(F.lit(1)).alias("size"))
     mains = counts.groupBy("grp").agg(F.max(F.struct("size", "class"))["class"].alias("main"), F.sum("size").alias("size"))
-    seat = checkpointed(classed.join(mains, "grp").select("fp", "grp", "class", "main", "size"))
-    rows = held.select("token", "fp").join(_small(seat), "fp")
+    seat = checkpointed(classed.join(mains, "grp").select("fp", "doc_id", "need", "grp", "class", "main", "size"))
+    rows = held.select("token", "doc_id").join(_small(seat), "doc_id")
     contested = rows.groupBy("token").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo < hi").select("token")
     rows = checkpointed(rows.join(_small(checkpointed(contested)), "token"))
     columns = rows.groupBy("token", "grp").agg(F.first("main").alias("other_main"), F.first("size").alias("other_size")).withColumnRenamed("grp", "other")
     same = F.col("main") == F.col("other_main")
     asks = F.when(same, F.col("class") != F.col("main")).otherwise(F.struct("other_size", "other") > F.struct("size", "grp"))
     joined = rows.alias("r").join(columns.alias("c"), (F.col("r.token") == F.col("c.token")) & (F.col("other") != F.col("grp")) & asks)
-    asked = checkpointed(joined.groupBy("fp", F.col("other").alias("grp")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= matches).select("fp", "grp"))
+    asked = checkpointed(joined.groupBy("fp", F.col("other").alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need").select("fp", "grp"))
 
     classy = sets.join(_small(classed.select("fp", "class")), "fp")
     passed = checkpointed(_qualifying(asked, inside.filter("grp is not null").select("grp", "tokens"), classy, num, den))
