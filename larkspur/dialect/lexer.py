@@ -1,11 +1,11 @@
-"""Tokens of the dialect: words, numbers, strings in either quote, signs; ``--`` comments run to the line's end."""
+"""Tokens of the dialect: words, numbers, strings in either quote (doubled inside), signs; ``--`` comments run to the line's end."""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
 
-_TOKEN = re.compile(r"""(?P<space>\s+|--[^\n]*)|(?P<number>\d+(?:\.\d+)?)|(?P<string>'[^']*'|"[^"]*")|(?P<word>[A-Za-z_$][A-Za-z0-9_$]*)|(?P<sign><>|!=|<=|>=|[-+*/%=<>(),.;])""")
+_TOKEN = re.compile(r"""(?P<space>\s+|--[^\n]*)|(?P<number>\d+(?:\.\d+)?)|(?P<string>'(?:[^']|'')*'|"(?:[^"]|"{2})*")|(?P<word>[A-Za-z_$][A-Za-z0-9_$]*)|(?P<sign><>|!=|<=|>=|[-+*/%=<>(),.;])""")
 
 
 class DialectError(ValueError):

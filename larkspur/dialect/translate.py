@@ -11,15 +11,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from larkspur.functions.columns import SPECIAL, loose_regex
+
 from .lexer import DialectError, Token, tokens
 
 CLAUSES = {"from", "where", "group", "having", "order", "limit", "union", "on", "as", "and", "or", "not", "then", "when", "else", "end", "asc", "desc", "inner", "left", "right", "full", "cross", "join", "outer", "by", "in", "like", "between", "is", "offset", "nulls", "using"}
 UNITS = ("second", "minute", "hour", "day", "week", "month", "year")
 INTEGERS = {"int", "bigint", "smallint", "tinyint"}
-CASTS = {"cast_int": "CAST(rint({0}) AS INT)", "cast_long": "CAST(rint({0}) AS BIGINT)", "cast_float": "CAST({0} AS FLOAT)", "cast_double": "CAST({0} AS DOUBLE)", "cast_decimal_15": "CAST({0} AS DECIMAL(15,2))", "cast_decimal_38": "CAST({0} AS DECIMAL(38,6))", "cast_datetime": "CAST({0} AS TIMESTAMP_NTZ)"}
+#: Floating numbers round half to even, decimals lose the digits that do not fit, integers stay exact. Spark folds ``typeof``.
+WHOLE = "CASE WHEN typeof({0}) IN ('float', 'double') THEN CAST(rint({0}) AS BIGINT) ELSE CAST({0} AS BIGINT) END"
+CUT = "CAST(CASE WHEN typeof({{0}}) NOT LIKE 'decimal%' THEN CAST({{0}} AS {0}) WHEN {{0}} < 0 THEN ceil(CAST({{0}} AS DECIMAL(38,12)), {1}) ELSE floor(CAST({{0}} AS DECIMAL(38,12)), {1}) END AS {0})"
+CASTS = {"cast_int": f"CAST({WHOLE} AS INT)", "cast_long": WHOLE, "cast_float": "CAST({0} AS FLOAT)", "cast_double": "CAST({0} AS DOUBLE)", "cast_decimal_15": CUT.format("DECIMAL(15,2)", 2), "cast_decimal_38": CUT.format("DECIMAL(38,6)", 6), "cast_datetime": "CAST({0} AS TIMESTAMP_NTZ)"}
 FUNCTIONS = {"starts_with": "startswith(lower({0}), lower({1}))", "ends_with": "endswith(lower({0}), lower({1}))", "date": "to_date({0})"}
 
 
+def literal(text: str) -> str:
+    """Spark SQL of a string."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 @dataclass
 class Text:
     """Spark SQL of an expression, whether it is an integer, and the plain name if it is a column."""
@@ -260,9 +270,9 @@ class Translator:
             if not self.loose_like:
                 return Text(f"({left.sql} {no}LIKE {pattern.sql})")
             if pattern.literal is None:
-                return Text(f"({no}{left.sql} RLIKE concat('(?is)', replace(regexp_replace({pattern.sql}, '([^%]+)', '\\\\\\\\Q$1\\\\\\\\E'), '%', '.*')))")
-            loose = ".*".join(f"\\\\Q{p}\\\\E" if p else "" for p in pattern.literal.split("%"))
-            return Text(f"({no}{left.sql} RLIKE '(?is){loose}')")
+                quoted = f"regexp_replace({pattern.sql}, {literal(SPECIAL)}, {literal(chr(92) * 2 + '$1')})"
+                return Text(f"({no}{left.sql} RLIKE concat('(?is)', replace({quoted}, '%', '.*')))")
+            return Text(f"({no}{left.sql} RLIKE {literal(loose_regex(pattern.literal))})")
         self.need("in", "(")
         inner = self.query() if self.now.low in ("select", "with") else ", ".join(self.listed())
         self.need(")")
@@ -297,9 +307,9 @@ class Translator:
             return Text(t.text, "." not in t.text)
         if t.kind == "string":
             self.i += 1
-            body = t.text[1:-1]
-            escaped = body.replace("\\", "\\\\").replace("'", "\\'")
-            return Text(f"'{escaped}'", literal=body)
+            quote = t.text[0]
+            body = t.text[1:-1].replace(quote * 2, quote)
+            return Text(literal(body), literal=body)
         if self.take("("):
             if self.now.low in ("select", "with"):
                 inner = Text(f"({self.query()})")

@@ -6,6 +6,8 @@ decimal(38,6), matching may ignore case. All are built-in expressions, so they s
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,13 +42,18 @@ def avg_double(x) -> Column:
     return F.sum(_column(x)).cast("double") / F.count(_column(x))
 
 
+def _whole(x) -> Column:
+    """Floating numbers round half to even, decimals lose their digits, integers stay exact."""
+    c = _column(x)
+    return F.when(F.typeof(c).isin("float", "double"), F.rint(c).cast("bigint")).otherwise(c.cast("bigint"))
+
+
 def cast_int(x) -> Column:
-    """Floating numbers round half to even."""
-    return F.rint(_column(x).cast("double")).cast("int")
+    return _whole(x).cast("int")
 
 
 def cast_long(x) -> Column:
-    return F.rint(_column(x).cast("double")).cast("bigint")
+    return _whole(x)
 
 
 def cast_truncated(x, digits: int = 2) -> Column:
@@ -64,10 +71,18 @@ def ends_with(x, suffix: str) -> Column:
     return F.lower(_column(x)).endswith(suffix.lower())
 
 
+#: Characters that mean something in a regular expression.
+SPECIAL = r"([\\^$.|?*+()\[\]{}])"
+
+
+def loose_regex(pattern: str) -> str:
+    """Regular expression of a loose pattern: unanchored, without case, ``%`` the only wildcard."""
+    return "(?is)" + ".*".join(re.sub(SPECIAL, r"\\\1", p) for p in pattern.split("%"))
+
+
 def like_loose(x, pattern: str) -> Column:
     """Unanchored and without case, ``%`` the only wildcard; other characters stand for themselves."""
-    quoted = ".*".join(f"\\Q{p}\\E" if p else "" for p in pattern.split("%"))
-    return _column(x).rlike(f"(?is){quoted}")
+    return _column(x).rlike(loose_regex(pattern))
 
 
 def extract_part(part: str, x) -> Column:

@@ -90,9 +90,9 @@ def in_list_in_or(t):
     return t.part.filter(C("p_size").isin(1, 2) | C("p_type").isin("ECONOMY", "LARGE") | C("p_partkey").isin(7)).select("p_partkey")
 
 
-@query("SELECT o_orderkey + 1 AS foo FROM orders WHERE o_orderkey + 1 < 100")
+@query("SELECT o_orderkey, o_custkey * 3 AS triple FROM orders WHERE o_custkey * 3 < 100")
 def where_alias(t):
-    return t.orders.select((C("o_orderkey") + 1).alias("foo")).filter(C("foo") < 100)
+    return t.orders.select("o_orderkey", (C("o_custkey") * 3).alias("triple")).filter(C("triple") < 100)
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red%'")

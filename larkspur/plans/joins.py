@@ -16,7 +16,7 @@ def join_inner(t):
 
 @query("SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name <> 'ASIA'")
 def join_comma(t):
-    return t.nation.crossJoin(t.region).filter("n_regionkey = r_regionkey and r_name <> 'ASIA'").select("n_name", "r_name")
+    return t.nation.join(t.region.filter("r_name <> 'ASIA'"), C("n_regionkey") == C("r_regionkey")).select("n_name", "r_name")
 
 
 @query("SELECT l_orderkey, l_linenumber, c_name, n_name, r_name FROM lineitem, orders, customer, nation, region WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND l_quantity = 50")
@@ -61,7 +61,7 @@ def join_cross(t):
 
 @query("SELECT a.n_nationkey AS a, b.s_suppkey AS b FROM nation a, supplier b WHERE a.n_nationkey * 5 > b.s_suppkey")
 def join_theta(t):
-    return t.supplier.join(F.broadcast(t.nation), C("n_nationkey") * 5 > C("s_suppkey")).select(C("n_nationkey").alias("a"), C("s_suppkey").alias("b"))
+    return t.supplier.join(t.nation, C("n_nationkey") * 5 > C("s_suppkey")).select(C("n_nationkey").alias("a"), C("s_suppkey").alias("b"))
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey AND l_extendedprice > 40 * p_retailprice")

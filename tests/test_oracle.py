@@ -10,7 +10,7 @@ import pytest
 from larkspur.plans import registry
 from larkspur.sources.catalog import TABLES
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("ORACLE_FOLDER", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
@@ -35,7 +35,7 @@ def rows_of(names, rows):
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_rows(spark, duck, name):
-    df = registry.queries()[name](spark, os.environ.get("ORACLE_FOLDER", FOLDER))
+    df = registry.queries()[name](spark, FOLDER)
     got = df.collect()
     relation = duck.sql(registry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(relation.columns)
