@@ -1,4 +1,7 @@
-"""Connected components by alternating large-star and small-star steps, on DataFrames alone."""
+"""Connected components by alternating large-star and small-star steps, on DataFrames alone.
+
+Loops and repeated edges change nothing; an edge with a null end is no edge; no edges: no rows.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +18,7 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     seen: minima are aggregated on the map side, and a hot node is a skewed join key at worst.
     Rounds end when the links no longer change; their number grows with the logarithm of the longest chain.
     """
-    links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    links = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     links = checkpointed(links)
     before = None
     for _ in range(most_rounds):

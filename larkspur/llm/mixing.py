@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty, words_of
+from .common import checkpointed, fresh, text_or_empty, words_of
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST_COPIES = 2
 RANK_BUCKETS = 4096
+#: The rows that a source has in a plan go to every executor for at most so many sources, as counted; beyond, they are joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, most_copies: int = MOST_COPIES) -> DataFrame:
@@ -75,6 +77,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
         F.col("source").alias("__source"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole"),
     ).withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
+    goals = checkpointed(goals)
+    each = F.broadcast if goals.count() <= BROADCAST_SOURCES else (lambda df: df)  # of sides with a row a source
 
     # p = min(1, c * size) with sum(p * size) = rest: the sizes above some size are certain (p = 1), and c follows
     # from the rest. The largest size that need not be certain, with its own c, fixes c. One row a (source, size).
@@ -84,7 +88,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     square = (F.col("size") * F.col("size") * F.col("n")).cast("double")
     rates = (
         by_size.filter("size > 0")
-        .join(F.broadcast(goals.select("__source", "rest")), same("source", "__source"))
+        .join(each(goals.select("__source", "rest")), same("source", "__source"))
         .select("source", "size", ((F.col("rest") - F.coalesce(F.sum(F.col("size") * F.col("n")).over(above), F.lit(0))) / F.sum(square).over(here)).alias("c"))
         .groupBy("source")
         .agg(F.max(F.when(F.col("c") * F.col("size") <= 1, F.struct("size", "c"))).alias("x"))
@@ -96,7 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     u = _uniform(seed)
     p = F.least(F.coalesce(F.col("c"), F.lit(0.0)) * F.col("size"), F.lit(1.0))
     rank = u * (1 - p) / (u * (1 - p) + (1 - u) * p)
-    ranked = sized.join(F.broadcast(plan), same("source", "__source")).withColumn("rank", F.when(F.col("size") > 0, rank))
+    ranked = sized.join(each(plan), same("source", "__source")).withColumn("rank", F.when(F.col("size") > 0, rank))
     bucket = F.least(F.floor(F.col("rank") * buckets), F.lit(buckets - 1)).cast("int")
     ranked = checkpointed(ranked.select("doc_id", "source", "size", "__crc", "source_size", "target", "whole", "rest", "rank", bucket.alias("bucket")))
 
@@ -105,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     running = F.sum("words").over(W.partitionBy("source").orderBy("bucket"))
     cut = filled.withColumn("upto", running).filter("upto >= rest").groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("x"))
     cut = cut.select(F.col("source").alias("__source"), F.col("x.bucket").alias("cut"), F.col("x.before").alias("before"))
-    ranked = ranked.join(F.broadcast(cut), same("source", "__source"), "left")
+    ranked = ranked.join(each(cut), same("source", "__source"), "left")
 
     inside = F.col("bucket") == F.col("cut")
     order = W.partitionBy("source").orderBy("rank", "doc_id", "__crc")
@@ -119,21 +123,38 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUD
     gaps = gaps.select(F.col("source").alias("__source"), "gap")
     identity = F.struct("rank", "doc_id", "__crc", "size")
     miss = F.abs(F.col("size") - F.col("gap"))
-    spare = decided.filter("not sampled and size > 0 and rest > 0").join(F.broadcast(gaps), same("source", "__source")).filter(miss < F.col("gap"))
+    spare = decided.filter("not sampled and size > 0 and rest > 0").join(each(gaps), same("source", "__source")).filter(miss < F.col("gap"))
     last = spare.groupBy("source").agg(F.min(F.struct(miss.alias("miss"), identity.alias("row"))).alias("x")).select(F.col("source").alias("__source"), F.col("x.row").alias("last"))
     closing = F.coalesce(~F.col("sampled") & identity.eqNullSafe(F.col("last")), F.lit(False))
     copies = F.col("whole") + (F.col("sampled") | closing).cast("long")
-    out = decided.join(F.broadcast(last), same("source", "__source"), "left")
+    out = decided.join(each(last), same("source", "__source"), "left")
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), "source")
 
 
 def repeat(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every column of ``docs``, each document as often as ``mix`` takes it.
 
-    Rows that share an id, size and source share their copies, evenly and rounded up."""
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__words"), F.col("source").alias("__from"))
-    taken = taken.agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")).filter("__copies > 0")
-    sized = docs.withColumn("__size", F.size(words_of(text_or_empty())).cast("long"))
-    joined = sized.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__words")) & F.col("source").eqNullSafe(F.col("__from")))
-    share = F.ceil(F.col("__copies") / F.col("__rows")).cast("int")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), share))).select(*[sized[c] for c in docs.columns])
+    Rows that share an id, size and source share their copies: as evenly as they divide, and no more than they are."""
+    id_, words, source, copies, rows, place = (fresh(docs, c) for c in ("id", "words", "from", "copies", "rows", "place"))
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias(id_), F.col("size").alias(words), F.col("source").alias(source))
+    taken = checkpointed(taken.agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows)).filter(F.col(copies) > 0))
+    size = F.size(words_of(text_or_empty())).cast("long")
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (size == F.col(words)) & F.col("source").eqNullSafe(F.col(source))
+    joined = docs.join(taken, same)
+    uneven = F.col(copies) % F.col(rows) != 0
+    out = joined.filter(~uneven).withColumn(copies, F.col(copies) / F.col(rows))
+    if taken.filter(uneven).count():
+        # The first rows of a group take one copy more. A group is counted by partition, so none is gathered in one task.
+        part, before, key = fresh(docs, "part"), fresh(docs, "before"), [F.coalesce(F.col(id_).cast("string"), F.lit("")), F.col(id_).isNull(), F.col(words), F.coalesce(F.col(source), F.lit("")), F.col(source).isNull()]
+        names = [fresh(docs, f"key{i}") for i in range(len(key))]
+        odd = joined.filter(uneven)
+        for name, k in zip(names, key):
+            odd = odd.withColumn(name, k)
+        odd = checkpointed(odd.withColumn(part, F.spark_partition_id()))
+        starts = odd.groupBy(*names, part).agg(F.count(F.lit(1)).alias(before))
+        starts = starts.withColumn(before, F.sum(before).over(W.partitionBy(*names).orderBy(part)) - F.col(before))
+        odd = odd.withColumn(place, F.row_number().over(W.partitionBy(*names, part).orderBy(*names))).join(starts, [*names, part])
+        more = (F.col(before) + F.col(place) <= F.col(copies) % F.col(rows)).cast("long")
+        odd = odd.withColumn(copies, F.floor(F.col(copies) / F.col(rows)) + more).filter(F.col(copies) > 0)
+        out = out.unionByName(odd.select(*out.columns))
+    return out.withColumn(place, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(c) for c in docs.columns])

@@ -2,6 +2,7 @@
 
 Word hashes are polynomials over the bytes' random values, taken from running sums; an n-gram mixes
 its words' hashes in order. Two different n-grams of a corpus agree with probability about 2**-64 a pair.
+Texts are bytes (callers give empty ones for nulls); a text without words has no hashes and an empty set.
 """
 
 from __future__ import annotations

@@ -9,12 +9,20 @@ fit scores highest), with the clean words that score highest as hard examples. T
 one table of weights by subsequence; scoring a word costs its subsequences, whatever the landmarks.
 
 A document's score is a logistic function of its two highest words. Whole texts are scored, one map
-over the documents; only the fit collects, from at most ``most_labelled`` labelled documents a class,
-and the model that is sent to the workers has a fixed size.
+over the documents; only the fit collects, and the model that is sent to the workers has a fixed size.
+
+What is fitted is a machine over words: sentences of toxic texts only choose their witnesses, as in
+multiple-instance learning, and are no examples themselves. Bounds of the fit, none of them of the scoring:
+``most_labelled`` documents a class (3,000) and ``most_bytes`` of their whole texts (64 MB a class);
+``negatives`` clean words drawn as examples (4,000) and a quarter as many hard ones a round; ``landmarks``
+(192); near copies among the labelled are looked for by the ``sketch`` (6) least hashes of a text, among the
+last ``compared`` (20) texts of each. The logistic layer is fitted on 15 % of the labelled texts that the
+words were not learnt from, if each class has 8, and on all of them otherwise.
 
 Defined results
 * null, empty and white texts have no words and get the lowest score. Text is all that is scored.
-* a document labelled twice counts as toxic if any label says so; null labels are left out. Without
+* a document labelled twice counts as toxic if any label says so; null labels are left out. Rows that
+  share an id teach with one of their texts and are scored one by one. Without
   labels of both classes the score is the constant 0.
 * equal rows, ties and null ids are scored one by one. Empty table: no rows.
 """
@@ -30,10 +38,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import checkpointed, fresh, text_or_empty
 
 DECAY = 0.6
 REACH = 6
@@ -283,21 +291,26 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 192, negatives: int
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000) -> Model | None:
-    """Fit on at most ``most_labelled`` documents of each class, the first by a hash of their ids."""
+def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, most_bytes: int = 64 << 20) -> Model | None:
+    """Fit on at most ``most_labelled`` documents of each class and ``most_bytes`` of whole texts of each, the first by a hash of their ids.
+
+    Of rows that share an id the least text is read."""
     one = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     picked = [one.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled) for c in (0, 1)]
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id").orderBy("doc_id", "text").select("text", "toxic").toArrow()
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "doc_id")
+    rows = checkpointed(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")))
+    upto = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # over the picked rows
+    rows = rows.withColumn("upto", upto).filter(F.col("upto") <= most_bytes).orderBy("doc_id").select("text", "toxic").toArrow()
     return fit(rows["text"].to_pylist(), rows["toxic"].to_pylist())
 
 
 _CACHE: dict[str, tuple[dict, dict]] = {}
 
 
-def toxicity(docs: DataFrame, model: Model | None, capacity: int = 300_000) -> Column | DataFrame:
-    """All columns of ``docs`` with ``score`` (0 to 1) added."""
+def toxicity(docs: DataFrame, model: Model | None, capacity: int = 300_000, name: str = "score") -> DataFrame:
+    """All columns of ``docs`` with ``name`` (0 to 1) added."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     key = str(hash((model.table.tobytes(), model.document.tobytes())))
 
     @F.pandas_udf("double")
@@ -324,7 +337,7 @@ def toxicity(docs: DataFrame, model: Model | None, capacity: int = 300_000) -> C
                     tops[at + i] = two_highest(ws, new)
             yield pd.Series(model.score(tops))
 
-    return docs.withColumn("score", scored(text_or_empty()))
+    return docs.withColumn(name, scored(text_or_empty()))
 
 
 def fold(of: int) -> Column:
@@ -341,6 +354,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, most_lab
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that score below one half; every column of ``docs``."""
-    hidden = "__toxicity"
-    model = train(docs, labels, **options)
-    return toxicity(docs.withColumnRenamed("score", hidden) if "score" in docs.columns else docs, model).filter("score < 0.5").drop("score").withColumnRenamed(hidden, "score")
+    name = fresh(docs, "toxicity")
+    return toxicity(docs, train(docs, labels, **options), name=name).filter(F.col(name) < 0.5).drop(name)
