@@ -30,11 +30,17 @@ SEPARATOR = 49407
 BLOCK_TOKENS = 1 << 16
 
 
+def id_type(tokenizer: str, separator: int = SEPARATOR) -> str:
+    """The type that ids of the vocabulary and the separator are stored as: two bytes where they suffice, else four."""
+    return "<u2" if max(separator, coder(tokenizer, True).most) < 1 << 16 else "<u4"
+
+
 def token_stream(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Rows of two kinds: blocks (stream, block, ids) and the order of documents (stream, ordinal, doc_id)."""
     schema = pa.schema([("stream", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
-    end = np.array([separator], dtype="<u2").tobytes()
-    width = 2 * block_tokens
+    kind = id_type(tokenizer, separator)
+    end = np.array([separator], dtype=kind).tobytes()
+    width = np.dtype(kind).itemsize * block_tokens
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stream, block, ordinal, rest = coder(tokenizer, True), TaskContext.get().partitionId(), 0, 0, b""
@@ -50,7 +56,7 @@ def token_stream(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, bl
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 coded = encoder.ids(part.column(1).to_pylist())
-                rest += b"".join(np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() + end for x in coded)
+                rest += b"".join(np.frombuffer(x, dtype="<u4").astype(kind).tobytes() + end for x in coded)
                 whole = len(rest) // width * width
                 blocks, rest = [rest[i : i + width] for i in range(0, whole, width)], rest[whole:]
                 yield rows(blocks, part.column(0).to_pylist())
@@ -61,7 +67,7 @@ def token_stream(docs: DataFrame, tokenizer: str, separator: int = SEPARATOR, bl
     return chosen.mapInArrow(write, "stream int, block long, ids binary, ordinal long, doc_id long")
 
 
-def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
+def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR, kind: str = "<u2") -> DataFrame:
     """Per block: its tokens, the places of its first and last separator, and the lengths between separators."""
     fields = [("stream", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("separators", pa.int64()), ("first", pa.int64()), ("last", pa.int64()), ("between", pa.list_(pa.int64()))]
     schema = pa.schema(fields)
@@ -70,7 +76,7 @@ def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
         for batch in batches:
             out = []
             for stream, block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids = np.frombuffer(data.as_buffer(), dtype="<u2")
+                ids = np.frombuffer(data.as_buffer(), dtype=kind)
                 at = np.flatnonzero(ids == separator)
                 out.append((stream, block, len(ids), len(at), int(at[0]) if len(at) else None, int(at[-1]) if len(at) else None, np.diff(at) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
@@ -78,11 +84,11 @@ def scan_blocks(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
     return blocks.select("stream", "block", "ids").mapInArrow(scan, "stream int, block long, n long, separators long, first long, last long, between array<long>")
 
 
-def count_tokens(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
+def count_tokens(blocks: DataFrame, separator: int = SEPARATOR, kind: str = "<u2") -> DataFrame:
     """stream, ordinal (of the document in its stream), n_tokens."""
     before = W.partitionBy("stream").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    placed = scan_blocks(blocks, separator).withColumn("at", zero(F.sum("n").over(before)))
+    placed = scan_blocks(blocks, separator, kind).withColumn("at", zero(F.sum("n").over(before)))
     stitched = placed.select(
         "stream",
         zero(F.sum("separators").over(before)).alias("base"),
@@ -98,5 +104,5 @@ def token_counts(docs: DataFrame, tokenizer: str, block_tokens: int = BLOCK_TOKE
     """doc_id, n_tokens, stream, ordinal of every document, counted from the flat streams."""
     written = checkpointed(token_stream(docs, tokenizer, block_tokens=block_tokens))
     order = written.filter("block is null").select("stream", "ordinal", "doc_id")
-    counted = count_tokens(written.filter("block is not null"))
+    counted = count_tokens(written.filter("block is not null"), kind=id_type(tokenizer))
     return order.join(counted, ["stream", "ordinal"]).select("doc_id", "n_tokens", "stream", "ordinal")

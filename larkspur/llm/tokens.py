@@ -3,7 +3,7 @@
 Byte-pair merging is the costly part, and words repeat: ids are kept by white-space word in a
 bounded two-generation cache for the life of a worker, and the words that are new in a batch
 are merged in one call. A text with control characters that the tokenizer and Python's
-``str.split`` see differently is encoded whole.
+``str.split`` see differently is encoded whole. A null or empty text has no ids.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ class WordCoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.most = max(vocabulary.values())
+        self.ends = np.zeros(self.most + 1, dtype=bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.capacity, self.new, self.old = capacity, {}, {}
 
