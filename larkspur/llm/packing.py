@@ -4,8 +4,8 @@ A packing depends on the lengths alone, and there are at most ``capacity`` of th
 many documents there are. So the lengths are counted by Spark, the bins are filled on that
 bounded histogram (bitset subset sums find the fullest feasible combination for a bin, which
 is removed as often as the counts allow), and each piece finds its place by its rank among the
-pieces of its length. Ranks are dealt out by (length, hash bucket), so a length that holds a
-third of all pieces is ranked by many tasks.
+pieces of its length. Ranks are dealt out by (length, hash bucket), with as many buckets as a
+length's count asks for, so a length that holds a third of all pieces is ranked by many tasks.
 
 Defined results
 * null text is an empty document: its only token is the terminator.
@@ -29,6 +29,9 @@ from .tokens import coder
 
 CAPACITY = 2048
 TERMINATOR = 0
+#: Pieces of one length that one task ranks, about; the first ranks of all tasks are broadcast up to so many rows.
+ROWS_A_TASK = 100_000
+MOST_STARTS = 200_000
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, terminator: int = TERMINATOR) -> DataFrame:
@@ -106,19 +109,20 @@ def _places(bins: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarra
     return {n: tuple(np.array(c, dtype=np.int64) for c in zip(*r)) for n, r in runs.items()}
 
 
-def ranked(df: DataFrame, by: str, ties: list[str], buckets: int) -> DataFrame:
-    """``rank``: 0.. within each value of ``by``; a value's rows are dealt over ``buckets`` tasks.
-
-    The table of bucket sizes has at most (values of ``by``) x ``buckets`` rows.
-    """
-    dealt = df.withColumn("__b", F.pmod(F.xxhash64(*ties), F.lit(buckets)).cast("int"))
+def ranked(df: DataFrame, by: str, counts: dict[int, int], ties: list[str], rows: int) -> DataFrame:
+    """``rank``: 0.. within each value of ``by``, whose ``counts`` are known; a value is dealt over tasks of about ``rows`` each."""
+    spark = df.sparkSession
+    cuts = [(k, -(-n // rows)) for k, n in counts.items()]
+    few = F.broadcast if sum(b for _, b in cuts) <= MOST_STARTS else (lambda side: side)
+    dealt = df.join(F.broadcast(spark.createDataFrame(cuts, f"{by} long, __of int")), by) if cuts else df.withColumn("__of", F.lit(1))
+    dealt = dealt.withColumn("__b", F.pmod(F.xxhash64(*ties), F.col("__of")).cast("int")).drop("__of")
     sizes = dealt.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select(F.col(by), F.col("__b"), (F.sum("__n").over(W.partitionBy(by).orderBy("__b")) - F.col("__n")).alias("__s"))
     inner = F.row_number().over(W.partitionBy(by, "__b").orderBy(*ties))
-    return dealt.withColumn("__r", inner).join(F.broadcast(starts), [by, "__b"]).withColumn("rank", F.col("__s") + F.col("__r") - 1).drop("__b", "__s", "__r")
+    return dealt.withColumn("__r", inner).join(few(starts), [by, "__b"]).withColumn("rank", F.col("__s") + F.col("__r") - 1).drop("__b", "__s", "__r")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, rows_a_task: int = ROWS_A_TASK) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     cut = checkpointed(pieces(docs, tokenizer, capacity))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
@@ -140,5 +144,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, buckets: int
                 offset[at] = base[run] + within % copies[run] * n
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kinds[:5]), pa.array(sequence), pa.array(offset)], schema=schema)
 
-    order = ranked(cut, "length", ["doc_id", "piece", "start", "ids_crc32"], buckets)
+    order = ranked(cut, "length", counts, ["doc_id", "piece", "start", "ids_crc32"], rows_a_task)
     return order.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
