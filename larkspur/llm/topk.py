@@ -4,15 +4,16 @@ Vectors fall into cells by their nearest pivot. Each cell is summarised by its p
 the distances of its nearest members. For a query q and a member x of the cell of pivot p,
 q.p - |q||x - p| <= q.x <= q.p + |q||x - p|. The summaries give every query a score that k others
 certainly reach, and its k-th score in the cell of its best pivot raises that; a query is sent only to
-cells whose upper bound reaches it, and solved there by one matrix product. Cells are cut into blocks of bounded size, as are the queries of a cell.
+cells whose upper bound reaches it, and solved there by one matrix product. Cells are cut into blocks of bounded
+size. Queries are counted by block: one that more than ``query_rows`` of them need is repeated for as many turns.
 
 Of equal vectors, only k rows of an id, and of these only the 2 k of smallest ids, can be among anyone's
 k best (ties go to the smaller id, and up to k of them may bear the query's own id), so longer runs of
 copies are cut to these before the join, on the map side; all rows still query.
 
 Defined results
-* vectors that are null or hold null or non-finite components take no part; shorter vectors count
-  as padded with zeros; components are floor(64 x) in 64-bit integers, scores exact integers.
+* vectors that are null or hold null or non-finite components take no part, nor do rows of a null id or
+  with a floor(64 x) beyond 64-bit integers; shorter vectors count as padded with zeros; scores are exact integers.
 * fewer than k candidates: all of them. Empty table: no rows. Rows that share an id are one row
   each as candidates; a query excludes every row of its own id; query rows that share an id are answered together.
 """
@@ -31,6 +32,8 @@ from .common import checkpointed
 
 K = 20
 SCALE = 64
+#: Blocks that many queries need are told to every executor up to so many, as counted.
+BROADCAST_ROWS = 500_000
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -42,13 +45,13 @@ def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
             ids, out = [], []
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if x.is_valid and x.values.null_count == 0:
-                    values = np.asarray(x.values, dtype=np.float64)
-                    if np.isfinite(values).all():
+                    values = np.floor(np.asarray(x.values, dtype=np.float64) * scale)
+                    if (np.abs(values) < 2.0**63).all():  # neither true of what is not finite
                         ids.append(i)
-                        out.append(np.floor(values * scale).astype("<i8").tobytes())
+                        out.append(values.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], schema=schema)
 
-    return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(convert, "vec_id long, v binary")
+    return vectors.filter("vec_id is not null").select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(convert, "vec_id long, v binary")
 
 
 def _matrix(column, width: int) -> np.ndarray:
@@ -122,9 +125,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_rows: int = 2
         close[i, : len(near.get(c, ()))] = near.get(c, ())
     blocks = np.array([-(-sizes[c]["n"] // block_rows) for c in cells])
 
-    sent_schema = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("query_id", pa.int64()), ("least", pa.int64()), ("q", pa.binary())])
+    sent_schema = pa.schema([("cell", pa.int32()), ("block", pa.int32()), ("query_id", pa.int64()), ("least", pa.int64()), ("q", pa.binary())])
     n_queries = asked.count()
-    parts = max(1, -(-n_queries // query_rows))
 
     def replicate(own: pa.RecordBatch, q_at: np.ndarray, c_at: np.ndarray, bound: np.ndarray) -> pa.RecordBatch:
         """A row for each pair of a query and a block of a cell."""
@@ -133,7 +135,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_rows: int = 2
         block = np.arange(len(q_at)) - np.repeat(np.cumsum(times) - times, times)
         ids = np.asarray(own.column(0))[q_at]
         least = np.maximum(np.floor(bound), -(2.0**62)).astype(np.int64)[q_at]
-        columns = [pa.array(np.array(cells, dtype=np.int32)[c_at]), pa.array(block.astype(np.int32)), pa.array((ids % parts).astype(np.int32)), pa.array(ids), pa.array(least), own.column(1).take(pa.array(q_at))]
+        columns = [pa.array(np.array(cells, dtype=np.int32)[c_at]), pa.array(block.astype(np.int32)), pa.array(ids), pa.array(least), own.column(1).take(pa.array(q_at))]
         return pa.RecordBatch.from_arrays(columns, schema=sent_schema)
 
     def bounds(own: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -181,13 +183,26 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, cell_rows: int = 2
 
     n_blocks = F.element_at(F.create_map(*(F.lit(int(v)) for pair in zip(cells, blocks) for v in pair)), F.col("cell"))
     members = celled.select("cell", F.pmod(F.xxhash64("vec_id", "v"), n_blocks).cast("int").alias("block"), "vec_id", "v")
-    members = members.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else members.withColumn("part", F.lit(0))
     asked = checkpointed(asked.repartition(max(1, min(4 * data.sparkSession.sparkContext.defaultParallelism, n_queries // 256 + 1))))
-    key, sent_ddl, found_ddl = ["cell", "block", "part"], "cell int, block int, part int, query_id long, least long, q binary", "query_id long, vec_id long, score long"
+    key, sent_ddl, found_ddl = ["cell", "block", "part"], "cell int, block int, query_id long, least long, q binary", "query_id long, vec_id long, score long"
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
 
+    def turned(sent: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members and queries with ``part``: a block that too many queries need stands in several turns, each with its share of them."""
+        sent = checkpointed(sent)
+        load = sent.groupBy("cell", "block").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("turns")).filter("turns > 1")
+        load = checkpointed(load)
+        n = load.count()
+        if not n:
+            return members.withColumn("part", F.lit(0)), sent.withColumn("part", F.lit(0))
+        load = F.broadcast(load) if n <= BROADCAST_ROWS else load
+        turns = F.coalesce("turns", F.lit(1))
+        own = members.join(load, ["cell", "block"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), turns - 1))).drop("turns")
+        return own, sent.join(load, ["cell", "block"], "left").withColumn("part", F.pmod(F.xxhash64("query_id", "q"), turns).cast("int")).drop("turns")
+
     def best(sent: DataFrame) -> DataFrame:
-        found = members.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(solve, found_ddl)
+        own, sent = turned(sent)
+        found = own.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(solve, found_ddl)
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     # The k-th score at home is one that k others reach: it bounds what is sent elsewhere and what comes back.
