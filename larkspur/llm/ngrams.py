@@ -392,12 +392,42 @@ def _tokens(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, np.nd
     return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.array([], np.uint64), np.array([], np.int64))
 
 
+_TEXTS_DDL = "part int, doc_id array<long>, held_out array<boolean>, size array<long>, text binary"
+
+
+def packed_texts(batches):
+    """Rows of (doc_id, text, held_out, part), many to a row by part, their texts as one compressed piece."""
+    for batch in batches:
+        part = np.asarray(batch.column(3))
+        order = np.argsort(part, kind="stable")
+        bounds = [*np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1]))), len(order)] if len(order) else [0]
+        rows = []
+        for a, b in zip(bounds, bounds[1:]):
+            own = batch.take(pa.array(order[a:b]))
+            texts = own.column(1).to_pylist()
+            rows.append((int(part[order[a]]), own.column(0).to_pylist(), own.column(2).to_pylist(), [len(t) for t in texts], pa.compress(b"".join(texts), "zstd", asbytes=True)))
+        types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=["part", "doc_id", "held_out", "size", "text"])
+
+
+def unpacked_texts(table: pa.Table) -> tuple[list, np.ndarray, list[bytes]]:
+    """Ids, held-out marks and texts of a part's rows."""
+    texts: list[bytes] = []
+    for sizes, data in zip(table["size"].to_pylist(), table["text"].to_pylist()):
+        ends = np.cumsum([0, *sizes]).tolist()
+        whole = pa.decompress(data, ends[-1], "zstd", asbytes=True) if ends[-1] else b""
+        texts += [whole[a:b] for a, b in zip(ends, ends[1:])]
+    return [i for ids in table["doc_id"].to_pylist() for i in ids], np.array([h for held in table["held_out"].to_pylist() for h in held], dtype=bool), texts
+
+
 class _Part:
     """A part's tokens as ids of its distinct words, and its distinct pairs; the same for the same rows in any order."""
 
     def __init__(self, table: pa.Table, shards: int):
-        held = table["held_out"].to_numpy(zero_copy_only=False)
-        tokens, self.counts = _tokens([t or b"" for t in table["text"].to_pylist()])
+        self.doc_ids, held, texts = unpacked_texts(table)
+        self.held_out = held
+        tokens, self.counts = _tokens(texts)
+        del texts
         self.ends = np.cumsum(self.counts)
         self.words, self.token = np.unique(np.append(tokens, START), return_inverse=True)
         self.token, start = self.token[:-1].astype(np.int32), int(self.token[-1])
@@ -522,7 +552,8 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1, ord
     n_parts = text_parts(docs)
     shards = n_parts * extra_shards
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), (fold(folds) == 0).alias("held_out"))
-    texts = texts.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).cast("int")).repartition(n_parts, "part")
+    texts = texts.select("doc_id", "text", "held_out", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).cast("int").alias("part"))
+    texts = texts.mapInArrow(packed_texts, _TEXTS_DDL).repartition(n_parts, "part")
 
     words_schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 
@@ -611,7 +642,7 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1, ord
             p[level["at"]] = share(shares)[level["gram"]] + np.where(backs == UNSEEN, 1.0, share(backs))[level["gram"]] * p[level["at"]]
         sums = lambda x: np.add.reduceat(x, own.ends - own.counts)  # noqa: E731  every text has its end
         rows = zip(
-            table["doc_id"].to_pylist(), table["held_out"].to_pylist(), own.counts.tolist(), sums((own.corpus > 0)[own.token].astype(np.int64)).tolist(),
+            own.doc_ids, own.held_out.tolist(), own.counts.tolist(), sums((own.corpus > 0)[own.token].astype(np.int64)).tolist(),
             [own.n] * len(own.counts), sums(np.log10(base)[own.token]).tolist(), sums(np.log10(p)).tolist(),
         )
         return _rows(list(rows), result)
