@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, let, parts, text_or_empty
+from .common import checkpointed, fresh, let, parts, text_or_empty, trimmed
 from .graph import components
 from .shingles import shingle_sets
 
@@ -93,7 +93,7 @@ def frequent_tokens(docs: DataFrame, n: int, most: int, local: int = 4, flush: i
                     held, size = [], 0
         yield counted()
 
-    rows = _raw(docs).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(most).toArrow()
+    rows = _raw(docs).mapInArrow(trimmed(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "token").limit(most).toArrow()
     tokens, times = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
     order = np.argsort(tokens)
     return tokens[order], times[order]
@@ -155,7 +155,7 @@ def sketches(docs: DataFrame, n: int, num: int, den: int, frequent: tuple[np.nda
                 lists = [listed(list(x), of) for x, of in zip(zip(*prefixes), (none, none, zero))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1000), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *lists], names=["doc_id", "n", "fp", "rare", "hot", "times"])
 
-    return _raw(docs).mapInArrow(sketch, "doc_id long, n long, fp binary, rare array<long>, hot array<long>, times array<long>")
+    return _raw(docs).mapInArrow(trimmed(sketch), "doc_id long, n long, fp binary, rare array<long>, hot array<long>, times array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -257,7 +257,7 @@ def _inside_groups(members: DataFrame, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _INSIDE.types)], schema=_INSIDE)
 
     placed = members.select("grp", "doc_id", "tokens").repartition(parts(members.sparkSession), "grp").sortWithinPartitions("grp")
-    return placed.mapInArrow(compare, "a long, b long, grp long, tokens binary")
+    return placed.mapInArrow(trimmed(compare), "a long, b long, grp long, tokens binary")
 
 
 def _turns(load: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def _qualifying(asked: DataFrame, unions: DataFrame, sets: DataFrame, num: int,
 
     turns = checkpointed(_turns(asked))
     own = unions.withColumn("fp", F.lit(None).cast("binary")).withColumn("class", F.lit(None).cast("long"))
-    return _met(own, _small(turns), _asking(asked, turns, sets)).mapInArrow(bound, "fp binary, grp long")
+    return _met(own, _small(turns), _asking(asked, turns, sets)).mapInArrow(trimmed(bound), "fp binary, grp long")
 
 
 def _opened(passed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -309,7 +309,7 @@ def _opened(passed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], schema=schema)
 
     turns = checkpointed(_turns(passed))
-    return _met(sets, _small(turns), _asking(passed, turns, sets)).mapInArrow(solve, "a long, b long").filter("a <> b").distinct()
+    return _met(sets, _small(turns), _asking(passed, turns, sets)).mapInArrow(trimmed(solve), "a long, b long").filter("a <> b").distinct()
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, most_frequent: int = 100_000) -> DataFrame:
@@ -350,7 +350,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
                 yield pa.RecordBatch.from_arrays([pa.array([prints[i] for i in mine], pa.binary()), batch.column(0).slice(at, 500).take(pa.array(mine, pa.int64())), pa.array([found[i].tobytes() for i in mine], pa.binary())], names=["fp", "grp", "tokens"])
 
     def texts_of(where: DataFrame) -> DataFrame:
-        return _raw(docs).join(_small(checkpointed(where.select("doc_id", "fp", "grp"))), "doc_id").select("grp", "fp", "text").mapInArrow(packed, "fp binary, grp long, tokens binary")
+        return _raw(docs).join(_small(checkpointed(where.select("doc_id", "fp", "grp"))), "doc_id").select("grp", "fp", "text").mapInArrow(trimmed(packed), "fp binary, grp long, tokens binary")
 
     repeated = texts_of(placed.filter("rows > 1")).groupBy("fp").agg(F.first("grp").alias("grp"), F.first("tokens").alias("tokens"))
     sets = checkpointed(texts_of(placed.filter("rows = 1")).unionByName(repeated))

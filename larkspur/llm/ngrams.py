@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, text_parts
+from .common import text_or_empty, text_parts, trim
 from .shingles import mixed, word_hashes
 from .toxicity import fold
 
@@ -424,6 +424,7 @@ class _Part:
     """A part's tokens as ids of its distinct words, and its distinct pairs; the same for the same rows in any order."""
 
     def __init__(self, table: pa.Table, shards: int):
+        trim()
         self.doc_ids, held, texts = unpacked_texts(table)
         self.held_out = held
         tokens, self.counts = _tokens(texts)
@@ -610,6 +611,7 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1, ord
         del context, follower, count, total, by, pairs, trained, sums
         found = [(trie.find(a, f).tobytes(), narrow(trie.followers(c))) for c, a, f in zip(contexts, asked, followers)]
         del contexts, asked, followers, trie
+        trim()
         levels = answer_levels([_split(x) for x in table["levels"].to_pylist()], names, bound)
         out = [(p, shard, None, None, None, None, None, *pairs, above) for p, pairs, above in zip(table["part"].to_pylist(), found, levels)]
         return _rows(out, counted_schema)

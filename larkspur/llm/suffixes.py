@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, text_parts
+from .common import text_or_empty, text_parts, trim
 from .shingles import BASE, VALUES, mixed, powers
 
 LENGTH = 50
@@ -167,6 +167,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
             bounds = np.searchsorted(codes >> np.uint64(32), np.arange(n_buckets + 1, dtype=np.uint64))
             short = codes.astype(np.uint32)
             out = [(b, table["part"][0].as_py(), short[i:j].tobytes(), short[i:j][again[i:j]].tobytes()) for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
+        trim()
         kinds = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("codes", pa.binary()), ("again", pa.binary())])
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.types)] if out else [pa.array([], t) for t in kinds.types], schema=kinds)
 
@@ -209,6 +210,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
             if matched:
                 rows, starts, sizes = zip(*matched)
                 out.append((1, part % n_buckets, part, _ints(rows), b"", _ints(starts), _ints(sizes), b""))
+            trim()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SENT.types)] if out else [pa.array([], t) for t in _SENT.types], schema=_SENT)
 
     found_schema = pa.schema([("part", pa.int32()), ("row", pa.binary()), ("start", pa.binary()), ("size", pa.binary())])
@@ -274,6 +276,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
                 left = b"".join(text[x:y] for x, y in zip([0, *ends.tolist()], [*begins.tolist(), len(text)]))
             out.append((ids[i], len(text), removed, spans, hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "ignore")] if carry else [])))
         columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out), result)] if out else [pa.array([], t) for _, t in result]
+        trim()
         names = [n for n, _ in result]
         if carry:
             held = table["carried"].combine_chunks().take(pa.array(order))

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, text_or_empty
+from .common import checkpointed, fresh, text_or_empty, trim
 
 DECAY = 0.6
 REACH = 6
@@ -307,7 +307,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, most_by
 _CACHE: dict[str, tuple[dict, dict]] = {}
 
 
-def toxicity(docs: DataFrame, model: Model | None, capacity: int = 300_000, name: str = "score") -> DataFrame:
+def toxicity(docs: DataFrame, model: Model | None, capacity: int = 100_000, name: str = "score") -> DataFrame:
     """All columns of ``docs`` with ``name`` (0 to 1) added."""
     if model is None:
         return docs.withColumn(name, F.lit(0.0))
@@ -336,6 +336,7 @@ def toxicity(docs: DataFrame, model: Model | None, capacity: int = 300_000, name
                 for i, ws in enumerate(words):
                     tops[at + i] = two_highest(ws, new)
             yield pd.Series(model.score(tops))
+        trim()
 
     return docs.withColumn(name, scored(text_or_empty()))
 
