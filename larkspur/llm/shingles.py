@@ -37,7 +37,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the life of the worker."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 21), base % 2**64, dtype=np.uint64)
+        have = np.full(max(n, (1 << 20) + (1 << 12)), base % 2**64, dtype=np.uint64)
         have[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(have)
     return have[:n]

@@ -27,6 +27,7 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ LENGTH = 50
 GRAM = 24
 BATCH_STRINGS = 250_000
 CHUNK = 1 << 20
+#: Text of a part, about: a task holds it beside the segments that it sends.
+PART_BYTES = 8 << 20
 
 
 class SuffixLevels:
@@ -143,7 +146,7 @@ def _joined(column) -> np.ndarray:
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), batch_strings: int = BATCH_STRINGS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with ``carry``, also those columns
     and ``kept_text`` (what is left; a character that was cut apart is dropped)."""
-    n_parts = text_parts(docs)
+    n_parts = text_parts(docs, PART_BYTES)
     n_buckets = 4 * n_parts
     carried = F.struct(*carry) if carry else F.lit(None).cast("struct<x:int>")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"), carried.alias("carried"))
@@ -188,7 +191,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
             _, ids, own = _part(table)
             known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for b, x in zip(shared["bucket"].to_pylist(), shared["codes"].to_pylist())]))
             seen: dict[bytes, int] = {}
-            kept: list[tuple] = []
+            kept, segments = array("q"), []  # bucket, row, owner and start of each segment, flat: a part has many
             matched: list[tuple] = []
             for data, hashes, first, end, text, offset in _segments(own[: sum(i is not None for i in ids)], length, gram):
                 codes = _codes(hashes, n_buckets)
@@ -200,13 +203,17 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
                     if seen.setdefault(segment, owner) < owner:
                         matched.append((row, at, b - a))
                     else:
-                        kept.append((bucket, row, owner, at, segment))
-            kept.sort(key=lambda x: x[0])
-            bounds = np.searchsorted(np.array([k[0] for k in kept], dtype=np.int64), np.arange(n_buckets + 1))
+                        kept.extend((bucket, row, owner, at))
+                        segments.append(segment)
+            del seen
+            flat = np.frombuffer(kept, dtype=np.int64).reshape(-1, 4)
+            order = np.argsort(flat[:, 0], kind="stable")
+            bounds = np.searchsorted(flat[order, 0], np.arange(n_buckets + 1))
             for bucket, (i, j) in enumerate(zip(bounds, bounds[1:])):
                 if j > i:
-                    _, rows, owners, starts, segments = zip(*kept[i:j])
-                    out.append((0, bucket, part, _ints(rows), _ints(owners), _ints(starts), _ints([len(s) for s in segments]), b"".join(segments)))
+                    mine = order[i:j]
+                    pieces = [segments[x] for x in mine]
+                    out.append((0, bucket, part, *(_ints(flat[mine, c]) for c in (1, 2, 3)), _ints([len(x) for x in pieces]), b"".join(pieces)))
             if matched:
                 rows, starts, sizes = zip(*matched)
                 out.append((1, part % n_buckets, part, _ints(rows), b"", _ints(starts), _ints(sizes), b""))
