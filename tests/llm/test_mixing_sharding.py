@@ -129,3 +129,13 @@ def test_shuffle_is_uniform(documents):
     first = [r["shard"] for r in shard_rows(docs).collect() if r["doc_id"] < 1200]
     expected = 50
     assert sum((first.count(s) - expected) ** 2 / expected for s in range(24)) < 55  # chi-square, 23 degrees, p about 2e-4
+
+
+def test_repeated_rows_share_their_copies_exactly(documents):
+    rows = [(1, "same words here", "s"), (1, "same words here", "s"), (1, "other words now", "s"), (None, "no id", "s"), (None, "no id", "s"), *[(i, "w " * i, "s") for i in range(2, 12)]]
+    docs = documents(rows)
+    want = Counter()
+    for r in mix(docs, seed=3).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    got = Counter((r["doc_id"], words(r["text"])) for r in repeat(docs, seed=3).collect())
+    assert got == +want

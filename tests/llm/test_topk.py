@@ -78,3 +78,15 @@ def test_repeated_ids_as_the_sql_has_them(spark, case):
         con.register("embeddings", embeddings)
         want = sorted(con.execute(exact_top_k()).fetchall())
     assert run(spark, rows, cell_rows=20, block_rows=50, query_rows=16) == want
+
+
+def test_null_ids_and_blocks_that_many_queries_need(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)] + [(None, [9.0, 9.0, 9.0, 9.0]), (1000, [1e300, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    plain = key(top_k(vectors, vectors, k=3, cell_rows=50, block_rows=40))
+    assert key(top_k(vectors, vectors, k=3, cell_rows=50, block_rows=40, query_rows=7)) == plain
+    assert len(plain) == 900 and {r[2] for r in plain} <= set(range(300))
