@@ -41,41 +41,76 @@ LENGTH = 50
 GRAM = 24
 BATCH_STRINGS = 250_000
 CHUNK = 1 << 20
+#: Suffixes compared at once.
+PIECE = 1 << 15
 
 
 class SuffixLevels:
-    """The logarithmic family: sorted suffix arrays, each with the first owner of every string."""
+    """The logarithmic family over ``data``: arrays of suffix positions in the order of their ``length``-byte
+    prefixes, one position a distinct prefix, with its first owner. Prefixes are read from ``data`` when they are
+    compared, so a level takes 16 bytes a prefix whatever its length."""
 
-    def __init__(self) -> None:
+    def __init__(self, data: np.ndarray, length: int) -> None:
         self.levels: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-    def add(self, strings: np.ndarray, owners: np.ndarray) -> np.ndarray:
-        """Index a batch whose owners are not below any earlier batch's; gives each string's least owner so far."""
+        self.windows = np.lib.stride_tricks.sliding_window_view(data, length) if len(data) >= length else data[:0].reshape(0, length)
+
+    def _strings(self, at: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(self.windows[at]).view(f"S{self.windows.shape[1]}").ravel()
+
+    def _heads(self, at: np.ndarray) -> np.ndarray:
+        """The first eight bytes of each prefix as integers of the same order."""
+        out = np.zeros((len(at), 8), dtype=np.uint8)
+        out[:, : self.windows.shape[1]] = self.windows[at, :8]
+        return out.view(">u8").ravel().astype(np.uint64)
+
+    def _search(self, known: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix of ``at``: the first of ``known`` (in order) that is not below it, and whether their prefixes are equal."""
+        place, equal = np.empty(len(at), dtype=np.int64), np.zeros(len(at), dtype=bool)
+        heads = self._heads(known)
+        for a in range(0, len(at), PIECE):
+            own = at[a : a + PIECE]
+            head = self._heads(own)
+            low, high = np.searchsorted(heads, head), np.searchsorted(heads, head, "right")
+            end = high.copy()
+            open_ = np.flatnonzero(low < high)
+            while len(open_):
+                middle = (low[open_] + high[open_]) >> 1
+                less = self._strings(known[middle]) < self._strings(own[open_])
+                low[open_[less]], high[open_[~less]] = middle[less] + 1, middle[~less]
+                open_ = open_[low[open_] < high[open_]]
+            met = np.flatnonzero(low < end)
+            place[a : a + PIECE] = low
+            equal[a + met] = self._strings(known[low[met]]) == self._strings(own[met])
+        return place, equal
+
+    def add(self, starts: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """Index a batch of suffixes whose owners are not below any earlier batch's; gives each one's least owner so far."""
+        strings = self._strings(starts)
         order = np.argsort(strings)
         ranked = strings[order]
         first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        distinct, owner = ranked[first], np.minimum.reduceat(owners[order], first)
+        size = len(ranked)
+        del strings, ranked
+        distinct, owner = starts[order[first]], np.minimum.reduceat(owners[order], first)
         least = owner.copy()
         for _, known, known_owner in self.levels:
-            at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
-            hit = known[at] == distinct
+            at, hit = self._search(known, distinct)
             least[hit] = np.minimum(least[hit], known_owner[at[hit]])
-        out = np.empty(len(strings), dtype=np.int64)
-        out[order] = np.repeat(least, np.diff(np.append(first, len(ranked))))
+        out = np.empty(size, dtype=np.int64)
+        out[order] = np.repeat(least, np.diff(np.append(first, size)))
         self._push(0, distinct, owner)
         return out
 
-    def _push(self, rank: int, strings: np.ndarray, owner: np.ndarray) -> None:
+    def _push(self, rank: int, starts: np.ndarray, owner: np.ndarray) -> None:
         while self.levels and self.levels[-1][0] == rank:
             _, older, older_owner = self.levels.pop()
-            at = np.searchsorted(older, strings)
-            known = older[np.minimum(at, len(older) - 1)] == strings
+            at, known = self._search(older, starts)
             same = at[known]
             older_owner = older_owner.copy()
             older_owner[same] = np.minimum(older_owner[same], owner[known])
-            strings, owner = np.insert(older, at[~known], strings[~known]), np.insert(older_owner, at[~known], owner[~known])
+            starts, owner = np.insert(older, at[~known], starts[~known]), np.insert(older_owner, at[~known], owner[~known])
             rank += 1
-        self.levels.append((rank, strings, owner))
+        self.levels.append((rank, starts, owner))
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -233,8 +268,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
             begin = np.cumsum(size) - size
             order = np.argsort(owner, kind="stable")
             strings = size - (length - 1)
-            index = SuffixLevels()
-            windows = np.lib.stride_tricks.sliding_window_view(data, length)
+            index = SuffixLevels(data, length)
             batch = np.cumsum(strings[order]) // batch_strings
             hits: list[tuple] = []
             for own in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
@@ -242,7 +276,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
                 segment = np.repeat(np.arange(len(own)), count)
                 within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 at = begin[own][segment] + within
-                least = index.add(np.ascontiguousarray(windows[at]).view(f"S{length}").ravel(), owner[own][segment])
+                least = index.add(at, owner[own][segment])
                 hit = least < owner[own][segment]
                 edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
                 cut = (within == 0) & hit  # a run ends with its segment
