@@ -40,7 +40,8 @@ from .shingles import BASE, VALUES, mixed, powers
 LENGTH = 50
 GRAM = 24
 BATCH_STRINGS = 250_000
-CHUNK = 1 << 20
+#: Bytes hashed at once; the arrays over them are many times as large.
+CHUNK = 1 << 18
 #: Suffixes compared at once.
 PIECE = 1 << 15
 
@@ -225,7 +226,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
             known = np.sort(np.concatenate([(np.uint64(b) << np.uint64(32)) | np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for b, x in zip(shared["bucket"].to_pylist(), shared["codes"].to_pylist())]))
             seen: dict[bytes, int] = {}
             kept, segments = array("q"), []  # bucket, row, owner and start of each segment, flat: a part has many
-            matched: list[tuple] = []
+            matched = array("q")  # row, start and size of each segment that an earlier document of the part has
             for data, hashes, first, end, text, offset in _segments(own[: sum(i is not None for i in ids)], length, gram):
                 codes = _codes(hashes, n_buckets)
                 hit = known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes if len(known) else np.zeros(len(codes), dtype=bool)
@@ -234,7 +235,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
                     segment = data[a:b]
                     owner = ids[row]
                     if seen.setdefault(segment, owner) < owner:
-                        matched.append((row, at, b - a))
+                        matched.extend((row, at, b - a))
                     else:
                         kept.extend((bucket, row, owner, at))
                         segments.append(segment)
@@ -248,7 +249,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
                     pieces = [segments[x] for x in mine]
                     out.append((0, bucket, part, *(_ints(flat[mine, c]) for c in (1, 2, 3)), _ints([len(x) for x in pieces]), b"".join(pieces)))
             if matched:
-                rows, starts, sizes = zip(*matched)
+                rows, starts, sizes = np.frombuffer(matched, dtype=np.int64).reshape(-1, 3).T
                 out.append((1, part % n_buckets, part, _ints(rows), b"", _ints(starts), _ints(sizes), b""))
             trim()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SENT.types)] if out else [pa.array([], t) for t in _SENT.types], schema=_SENT)
@@ -291,6 +292,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
             spans = list(zip(edges, np.append(edges[1:], len(part))))
             columns = [[int(part[i]) for i, _ in spans], *([_ints(x[i:j]) for i, j in spans] for x in (row, start, size))]
             results.append(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, found_schema.types)], schema=found_schema))
+        trim()
         return pa.concat_tables([r.cast(found_schema) for r in results])
 
     result = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("kept_text", pa.string())] if carry else [])
@@ -313,7 +315,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
                 ends = reach[np.append(np.flatnonzero(fresh)[1:] - 1, b - a - 1)]
                 spans, removed = len(begins), int((ends - begins).sum())
                 left = b"".join(text[x:y] for x, y in zip([0, *ends.tolist()], [*begins.tolist(), len(text)]))
-            out.append((ids[i], len(text), removed, spans, hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "ignore")] if carry else [])))
+            out.append((ids[i], len(text), removed, spans, hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "ignore").encode()] if carry else [])))
         columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out), result)] if out else [pa.array([], t) for _, t in result]
         trim()
         names = [n for n, _ in result]
