@@ -40,10 +40,27 @@ def trim() -> None:
         pass
 
 
+_KEPT: list[dict] = []
+
+
+def kept() -> dict:
+    """A dictionary of a module's own that lives as long as the worker, or until another operator's task calls ``release``."""
+    _KEPT.append({})
+    return _KEPT[-1]
+
+
+def release() -> None:
+    """Drop what operators before this one keep in the worker (it is made again when asked for), and give the memory back."""
+    for own in _KEPT:
+        own.clear()
+    trim()
+
+
 def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` over batches, which trims its worker when it ends."""
+    """``work`` over batches, which releases what others keep before it starts and trims its worker when it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         yield from work(batches)
         trim()
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, text_parts, trim
+from .common import release, text_or_empty, text_parts, trim
 from .shingles import BASE, VALUES, mixed, powers
 
 LENGTH = 50
@@ -159,6 +159,7 @@ def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def _part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Order of a part's rows by (id, text), null ids last; ids and texts in that order."""
+    release()
     texts = [t or b"" for t in table["text"].to_pylist()]
     ids = table["doc_id"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
@@ -258,6 +259,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
 
     def match(table: pa.Table) -> pa.Table:
         """A bucket's segments through the index in the order of their owners; gives the matched runs of strings."""
+        release()
         kind = table["kind"].to_numpy()
         passed = table.filter(pa.array(kind == 1))
         table = table.filter(pa.array(kind == 0))

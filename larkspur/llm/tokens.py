@@ -13,13 +13,15 @@ import re
 
 import numpy as np
 
+from .common import kept
+
 _ODD = re.compile("[\x1c-\x1f]")
 _TAIL = ".,;:!?"
-_CODERS: dict[tuple, "WordCoder"] = {}
+_CODERS: dict[tuple, "WordCoder"] = kept()
 
 
 def coder(path: str, special_as_text: bool = False) -> "WordCoder":
-    """The worker's coder for a tokenizer file: made once, kept with its cache."""
+    """The worker's coder for a tokenizer file: made once, kept with its cache until another operator's task releases it."""
     key = (path, special_as_text)
     if key not in _CODERS:
         _CODERS[key] = WordCoder(path, special_as_text)

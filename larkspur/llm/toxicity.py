@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, text_or_empty, trim
+from .common import checkpointed, fresh, release, text_or_empty, trim
 
 DECAY = 0.6
 REACH = 6
@@ -315,6 +315,7 @@ def toxicity(docs: DataFrame, model: Model | None, capacity: int = 100_000, name
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         new, old = _CACHE.setdefault(key, ({}, {}))  # scores of words, two generations, for the life of the worker
         if len(_CACHE) > 2:
             _CACHE.clear()
