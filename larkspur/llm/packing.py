@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty
+from .common import checkpointed, text_or_empty, trim
 from .tokens import coder
 
 CAPACITY = 2048
@@ -46,10 +46,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, terminator
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             rows: list[tuple] = []
             for at in range(0, len(ids), 256):
+                if at % 2048 == 0:
+                    trim()
                 for doc, data in zip(ids[at : at + 256], encoder.ids(texts.slice(at, 256).to_pylist())):
                     data += end
                     rows += [(doc, i, p // 4, min(width, len(data) - p) // 4, zlib.crc32(data[p : p + width])) for i, p in enumerate(range(0, len(data), width))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
+        trim()
 
     chosen = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     return chosen.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
