@@ -78,6 +78,17 @@ def _unpack(words: np.ndarray, bits: int, index: np.ndarray) -> np.ndarray:
     return value & np.uint64((1 << bits) - 1)
 
 
+def _select(rest: np.ndarray, bits: np.ndarray, place: np.ndarray) -> None:
+    """Set ``place`` to the ``rest``-th one of each 64 bits, by the half that holds it; the arguments are used up."""
+    for width in (32, 16, 8, 4, 2, 1):
+        count = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
+        go = rest >= count
+        rest -= count * go
+        step = go * np.int64(width)
+        place += step
+        bits >>= step.view(np.uint64)
+
+
 class EliasFano:
     """A non-decreasing sequence: low bits packed, high bits in unary with a count of zeros before every word."""
 
@@ -106,29 +117,32 @@ class EliasFano:
         word = np.searchsorted(self.zeros, k, "right") - 1
         rest, bits = k - self.zeros[word], ~self.high[word]
         place = np.zeros(len(k), dtype=np.int64)
-        for width in (32, 16, 8, 4, 2, 1):  # the half that holds the zero
-            count = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
-            go = rest >= count
-            rest, place = np.where(go, rest - count, rest), np.where(go, place + width, place)
-            bits = np.where(go, bits >> np.uint64(width), bits)
+        _select(rest, bits, place)
         return word * 64 + place
 
+    def _ones(self, at: np.ndarray) -> np.ndarray:
+        """Length of the run of ones that starts at each position of the high bits; 64 or more counts as 64."""
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        bits = self.high[word] >> shift
+        over = np.flatnonzero(shift)
+        after = np.minimum(word[over] + 1, len(self.high) - 1)
+        bits[over] |= self.high[after] << (np.uint64(64) - shift[over])
+        bits = ~bits
+        bits = (bits & (~bits + np.uint64(1))) - np.uint64(1)  # the ones below the first zero
+        return np.bitwise_count(bits).astype(np.int64)
+
     def values(self, index: np.ndarray) -> np.ndarray:
         """The elements at ``index``: the index-th one of the high bits by search over the counts of words."""
         ones = np.arange(len(self.zeros)) * 64 - self.zeros
         word = np.searchsorted(ones, index, "right") - 1
         rest, bits = index - ones[word], self.high[word].copy()
         place = np.zeros(len(index), dtype=np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(bits & np.uint64((1 << width) - 1)).astype(np.int64)
-            go = rest >= count
-            rest, place = np.where(go, rest - count, rest), np.where(go, place + width, place)
-            bits = np.where(go, bits >> np.uint64(width), bits)
+        _select(rest, bits, place)
         top = word * 64 + place - index
         return (top.astype(np.uint64) << np.uint64(self.bits)) | _unpack(self.low, self.bits, index)
 
     def find(self, x: np.ndarray) -> np.ndarray:
-        """Index of each x, or -1: the run of equal high bits by two selects, then a successor search in it."""
+        """Index of each x, or -1: the run of equal high bits by a select, then a successor search in it."""
         x = np.asarray(x, dtype=np.uint64)
         out = np.full(len(x), -1, dtype=np.int64)
         if not self.n:
@@ -136,14 +150,19 @@ class EliasFano:
         top = (x >> np.uint64(self.bits)).astype(np.int64)
         inside = np.flatnonzero((x >> np.uint64(self.bits)) <= np.uint64(self.top))
         top, want = top[inside], x[inside] & np.uint64((1 << self.bits) - 1)
-        low = np.where(top > 0, self._zero(np.maximum(top - 1, 0)) + 1 - top, 0)
-        end = self._zero(top) - top
-        high = end.copy()
-        while (low < high).any():
-            middle = (low + high) >> 1
-            less = (low < high) & (_unpack(self.low, self.bits, np.minimum(middle, self.n - 1)) < want)
-            high = np.where((low < high) & ~less, middle, high)
-            low = np.where(less, middle + 1, low)
+        start = np.where(top > 0, self._zero(np.maximum(top - 1, 0)) + 1, 0)
+        run = self._ones(start)
+        low = start - top
+        long = np.flatnonzero(run == 64)
+        run[long] = self._zero(top[long]) - start[long]
+        end = low + run
+        high, open_ = end.copy(), np.flatnonzero(run)
+        while len(open_):
+            middle = (low[open_] + high[open_]) >> 1
+            less = _unpack(self.low, self.bits, middle) < want[open_]
+            low[open_[less]] = middle[less] + 1
+            high[open_[~less]] = middle[~less]
+            open_ = open_[low[open_] < high[open_]]
         hit = low < end
         hit[hit] = _unpack(self.low, self.bits, low[hit]) == want[hit]
         out[inside[hit]] = low[hit]
@@ -163,6 +182,17 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return ((top.astype(np.uint64) << np.uint64(bits)) | _unpack(words[3 : 3 + low], bits, np.arange(n))).astype(np.int64)
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by a sort."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def _dense(x: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones."""
+    return np.searchsorted(_distinct(x), x)
+
+
 def narrow(x: np.ndarray) -> bytes:
     """Non-negative integers in the fewest bytes that hold them all, after a byte that tells how many."""
     size = next(b for b in (1, 2, 4, 8) if int(x.max(initial=0)) < 1 << 8 * b)
@@ -228,20 +258,26 @@ class Trie(_Mapped):
         (self.words, self.contexts, self.pointers, self.children), (self.codes,) = _parts_of(block)
 
     def followers(self, context: np.ndarray) -> np.ndarray:
-        rank = self._rank(context)
+        return self.reach(self.rank(self.words.find(context)))
+
+    def reach(self, rank: np.ndarray) -> np.ndarray:
+        """Distinct followers of the contexts of these ranks; none for a rank below 0."""
         seen = rank >= 0
         out = np.zeros(len(rank), dtype=np.int64)
         out[seen] = (self.pointers.values(rank[seen] + 1) - self.pointers.values(rank[seen])).astype(np.int64)
         return out
 
-    def _rank(self, context: np.ndarray) -> np.ndarray:
-        word = self.words.find(context)
+    def rank(self, word: np.ndarray) -> np.ndarray:
+        """Rank among the contexts of each place in ``words``, or -1."""
         rank = self.contexts.find(np.maximum(word, 0).astype(np.uint64))
         return np.where(word >= 0, rank, -1)
 
     def find(self, context: np.ndarray, follower: np.ndarray) -> np.ndarray:
         """The code of each pair's discounted share, or UNSEEN."""
-        rank, word = self._rank(context), self.words.find(follower)
+        return self.shares(self.rank(self.words.find(context)), self.words.find(follower))
+
+    def shares(self, rank: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """``find`` by the contexts' ranks and the followers' places in ``words``; below 0 is none."""
         at = self.children.find(np.maximum(word, 0).astype(np.uint64) + np.maximum(rank, 0).astype(np.uint64) * np.uint64(max(1, self.words.n)))
         hit = (rank >= 0) & (word >= 0) & (at >= 0)
         out = np.full(len(rank), UNSEEN, dtype="<u2")
@@ -344,7 +380,7 @@ def answer_levels(asked: list[list[bytes]], names: list[np.ndarray], bound: int)
             key = np.where(rank >= 0, rank * bound + word, -1)
         trained = count > 0
         if places is None:
-            places = Places(np.unique(last[of[trained]] * bound + follower[trained]), bound)
+            places = Places(_distinct(last[of[trained]] * bound + follower[trained]), bound)
         reach, place = places.of(last[of], follower)
         level = Level.of(key[of[trained]], reach[trained], place[trained], count[trained])
         rank = level.context(key)
@@ -437,13 +473,14 @@ class _Part:
         self.start = start
         self.n_train = int((~held).sum())
         self.shards = shards
-        self.word_shard = (self.words % np.uint64(shards)).astype(np.int64)
+        word_shard = (self.words % np.uint64(shards)).astype(np.int64)
+        self.of_shard = self._cut(np.argsort(word_shard, kind="stable"), word_shard)
 
     def receive(self, counted: pa.Table, order: int) -> None:
         """Corpus counts and ids of the part's words, and the corpus totals, from every shard; then the n-grams."""
         self.corpus, self.ids = np.zeros(len(self.words), dtype=np.int64), np.zeros(len(self.words), dtype=np.int32)
         for shard, counts, ranks in zip(*(counted[c].to_pylist() for c in ("shard", "counts", "ranks"))):
-            own = self.word_shard == shard
+            own = self.of_shard[shard]
             self.corpus[own], self.ids[own] = widened(counts), unpack_sorted(ranks) * self.shards + shard
         self.n, self.v = (int(sum(counted[c].to_pylist())) for c in ("n", "v"))
         self.bound = self.shards * max([1, *counted["size"].to_pylist()])  # above every id
@@ -460,7 +497,11 @@ class _Part:
         spread = np.maximum(1, 8 * self.shards * self.totals[self.context] // max(1, self.n)).astype(np.uint64)
         salt = mixed(self.words[self.follower]) % spread
         pair_shard = (mixed(self.words[self.context] + salt * END) % np.uint64(self.shards)).astype(np.int32)
-        by = np.lexsort((self.ids[self.follower], self.ids[self.context], pair_shard)).astype(np.int32)  # within a shard by context, then follower
+        place_of = np.empty(len(self.ids), dtype=np.int64)  # of each word in the order of ids
+        place_of[np.argsort(self.ids)] = np.arange(len(self.ids))
+        # Within a shard by context, then follower; contexts are numbered first, so that one integer orders all three.
+        group = _dense(pair_shard.astype(np.int64) * len(self.words) + place_of[self.context])
+        by = np.argsort(group * len(self.words) + place_of[self.follower]).astype(np.int32)
         self.sent = self._cut(by, pair_shard)
         # A context is asked for on every shard it is spread over: each counts the followers that it has.
         context, first_pair = np.unique(self.context, return_index=True)
@@ -469,7 +510,7 @@ class _Part:
         shard = (mixed(self.words[context] + salt * END) % np.uint64(self.shards)).astype(np.int64)
         _, at = np.unique(shard * self.bound + self.ids[context], return_index=True)
         self.asked = [context[at][i] for i in self._cut(np.arange(len(at)), shard[at])]
-        del spread, salt, pair_shard, by, before, first_pair, times, context, shard, at
+        del spread, salt, pair_shard, group, by, before, first_pair, times, context, shard, at
         # Levels above: n-grams from the position where their whole context stands in the text.
         self.levels, place = [], (np.arange(len(self.token)) - np.repeat(first, self.counts)).astype(np.int32)
         lower, shorter = self.pair, None  # of each position: its n-gram one level down; of each such n-gram: its context's index
@@ -485,12 +526,12 @@ class _Part:
                 suffix[gram] = lower[at]
                 oldest = oldest[self.levels[-1]["prefix"]]
                 shard, key = shorter["shard"][suffix], shorter["index"][suffix].astype(np.int64) * self.bound + self.ids[oldest[prefix]]
-            by = np.lexsort((self.ids[follower], key, shard)).astype(np.int32)
-            fresh = np.ones(len(by), dtype=bool)
-            fresh[1:] = (key[by][1:] != key[by][:-1]) | (shard[by][1:] != shard[by][:-1])
-            number = np.cumsum(fresh) - 1  # of the context, over all shards
-            of = np.empty(len(by), dtype=np.int32)
-            of[by] = number
+            # N-grams come by prefix, which is the context: contexts are numbered by shard and key, then followers ordered in each.
+            first_gram = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)])
+            number = np.empty(len(first_gram), dtype=np.int32)
+            number[np.lexsort((key[first_gram], shard[first_gram]))] = np.arange(len(first_gram), dtype=np.int32)
+            of = np.repeat(number, np.diff(np.append(first_gram, len(prefix))))
+            by = np.argsort(of.astype(np.int64) * len(self.words) + place_of[follower]).astype(np.int32)
             cuts = self._cut(by, shard)
             starts = np.array([of[c[0]] if len(c) else 0 for c in cuts], dtype=np.int32)
             shorter = {"shard": shard, "index": of - starts[shard]}
@@ -523,7 +564,7 @@ class _Part:
         ids = [self.ids[w] for w in words]
         for i, level in enumerate(self.levels):
             ids += [x.astype(np.int32) for x in np.divmod(level["key"][level["sent"][shard]], self.bound)[i > 0 :]]
-        return np.unique(np.concatenate(ids))
+        return _distinct(np.concatenate(ids))
 
     def levels_of(self, shard: int, names: np.ndarray) -> list[bytes]:
         """What a shard is sent of the levels above pairs, as ``answer_levels`` reads it."""
@@ -560,7 +601,7 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1, ord
 
     def send_words(table: pa.Table) -> pa.Table:
         own, part = _Part(table, shards), table["part"][0].as_py()
-        return _rows([(s, part, own.words[at].tobytes(), narrow(own.word_counts[at])) for s in range(shards) for at in [own.word_shard == s]], words_schema)
+        return _rows([(s, part, own.words[at].tobytes(), narrow(own.word_counts[at])) for s, at in enumerate(own.of_shard)], words_schema)
 
     counted_schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("ranks", pa.binary()), ("size", pa.int64()), ("n", pa.int64()), ("v", pa.int64()), ("shares", pa.binary()), ("followers", pa.binary()), ("levels", pa.binary())])
     counted_ddl = "part int, shard int, counts binary, ranks binary, size long, n long, v long, shares binary, followers binary, levels binary"
@@ -595,10 +636,11 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1, ord
         """Build the shard's trie from the training counts of all parts, then look up each part's n-grams in it."""
         bound = table["bound"][0].as_py()
         names = [unpack_sorted(x) for x in table["names"].to_pylist()]
-        contexts = [ids[unpack_sorted(x)] for x, ids in zip(table["contexts"].to_pylist(), names)]
+        contexts = [unpack_sorted(x) for x in table["contexts"].to_pylist()]
         pairs = [np.divmod(unpack_sorted(x), max(1, len(ids))) for x, ids in zip(table["pairs"].to_pylist(), names)]
-        asked, followers = [c[of] for c, (of, _) in zip(contexts, pairs)], [ids[f] for ids, (_, f) in zip(names, pairs)]
-        context, follower, count = np.concatenate(asked), np.concatenate(followers), np.concatenate([widened(x) for x in table["counts"].to_pylist()])
+        context = np.concatenate([ids[c][of] for ids, c, (of, _) in zip(names, contexts, pairs)])
+        follower = np.concatenate([ids[to] for ids, (_, to) in zip(names, pairs)])
+        count = np.concatenate([widened(x) for x in table["counts"].to_pylist()])
         total = np.concatenate([widened(x)[of] for x, (of, _) in zip(table["totals"].to_pylist(), pairs)])
         trained = count > 0
         context, follower, count, total = context[trained], follower[trained], count[trained], total[trained]
@@ -608,9 +650,13 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1, ord
         sums = np.add.reduceat(count, first) if len(first) else count
         trie = Trie.mapped(build_trie(context[first].astype(np.uint64), follower[first].astype(np.uint64), sums, total[first]))
         shard = table["shard"][0].as_py()
-        del context, follower, count, total, by, pairs, trained, sums
-        found = [(trie.find(a, f).tobytes(), narrow(trie.followers(c))) for c, a, f in zip(contexts, asked, followers)]
-        del contexts, asked, followers, trie
+        del context, follower, count, total, by, trained, sums
+        found = []
+        for ids, of_names, (of, to) in zip(names, contexts, pairs):
+            word = trie.words.find(ids)
+            rank = trie.rank(word[of_names])
+            found.append((trie.shares(rank[of], word[to]).tobytes(), narrow(trie.reach(rank))))
+        del contexts, pairs, trie
         trim()
         levels = answer_levels([_split(x) for x in table["levels"].to_pylist()], names, bound)
         out = [(p, shard, None, None, None, None, None, *pairs, above) for p, pairs, above in zip(table["part"].to_pylist(), found, levels)]
