@@ -377,7 +377,7 @@ def answer_levels(asked: list[list[bytes]], names: list[np.ndarray], bound: int)
             parent, word = np.divmod(key, bound)
             parent += np.repeat(shorter[2], n)
             last, rank = shorter[1][parent], shorter[0][parent]
-            key = np.where(rank >= 0, rank * bound + word, -1)
+            key = np.where(rank >= 0, rank.astype(np.int64) * bound + word, -1)
         trained = count > 0
         if places is None:
             places = Places(_distinct(last[of[trained]] * bound + follower[trained]), bound)
