@@ -49,10 +49,11 @@ def kept() -> dict:
     return _KEPT[-1]
 
 
-def release() -> None:
-    """Drop what operators before this one keep in the worker (it is made again when asked for), and give the memory back."""
-    for own in _KEPT:
-        own.clear()
+def release(own: dict | None = None) -> None:
+    """Drop what operators before this one keep in the worker (it is made again when asked for), all but ``own``, and give the memory back."""
+    for other in _KEPT:
+        if other is not own:
+            other.clear()
     trim()
 
 

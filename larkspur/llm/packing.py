@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, text_or_empty, trim
-from .tokens import coder
+from .common import checkpointed, release, text_or_empty, trim
+from .tokens import _CODERS, coder
 
 CAPACITY = 2048
 TERMINATOR = 0
@@ -41,6 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, terminator
     width = capacity * 4
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(_CODERS)
         encoder = coder(tokenizer)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

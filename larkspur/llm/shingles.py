@@ -37,7 +37,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the life of the worker."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, (1 << 20) + (1 << 12)), base % 2**64, dtype=np.uint64)
+        have = np.full(max(n, (1 << 18) + (1 << 12)), base % 2**64, dtype=np.uint64)
         have[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(have)
     return have[:n]
@@ -60,7 +60,7 @@ def word_hashes(texts: list[bytes], values: np.ndarray = LOWERED) -> tuple[np.nd
     return mixed(hashes + (stop - start).astype(np.uint64)), np.searchsorted(ends, start, "right")
 
 
-def shingle_sets(texts: list[bytes], n: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[bytes], n: int, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text; fewer words than n: one hash of them all; none: empty."""
     at = 0
     while at < len(texts):

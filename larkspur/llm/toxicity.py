@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, release, text_or_empty, trim
+from .common import checkpointed, fresh, kept, release, text_or_empty, trim
 
 DECAY = 0.6
 REACH = 6
@@ -304,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 3000, most_by
     return fit(rows["text"].to_pylist(), rows["toxic"].to_pylist())
 
 
-_CACHE: dict[str, tuple[dict, dict]] = {}
+_CACHE: dict[str, tuple[dict, dict]] = kept()
 
 
 def toxicity(docs: DataFrame, model: Model | None, capacity: int = 100_000, name: str = "score") -> DataFrame:
@@ -315,8 +315,8 @@ def toxicity(docs: DataFrame, model: Model | None, capacity: int = 100_000, name
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        release()
-        new, old = _CACHE.setdefault(key, ({}, {}))  # scores of words, two generations, for the life of the worker
+        release(_CACHE)
+        new, old = _CACHE.setdefault(key, ({}, {}))  # scores of words, two generations, until another operator's task releases them
         if len(_CACHE) > 2:
             _CACHE.clear()
             _CACHE[key] = (new, old)

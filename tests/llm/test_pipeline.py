@@ -5,6 +5,8 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from larkspur.llm import tokens, toxicity
+from larkspur.llm.common import release
 from larkspur.llm.mixing import mix
 from tests.llm.test_jaccard import brute as brute_components
 from tests.llm.test_suffixes import brute as brute_removed
@@ -62,3 +64,11 @@ def test_each_stage_on_what_the_last_one_kept(spark, tmp_path):
 def test_run_is_the_stages(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_a_worker_keeps_the_cache_of_one_operator():
+    toxicity._CACHE["model"], tokens._CODERS["path"] = ({}, {}), None
+    release(toxicity._CACHE)
+    assert list(toxicity._CACHE) == ["model"] and not tokens._CODERS
+    release()
+    assert not toxicity._CACHE
