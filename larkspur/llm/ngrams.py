@@ -49,7 +49,7 @@ DISCOUNT = 0.75
 CODE_STEP = 4096.0
 UNSEEN = 65535
 #: Lookups at once.
-PIECE = 1 << 16
+PIECE = 1 << 14
 
 
 # --- Elias-Fano sequences -------------------------------------------------------------------
@@ -145,8 +145,12 @@ class EliasFano:
         """Index of each x, or -1: the run of equal high bits by a select, then a successor search in it."""
         x = np.asarray(x, dtype=np.uint64)
         out = np.full(len(x), -1, dtype=np.int64)
-        if not self.n:
-            return out
+        for a in range(0, len(x) if self.n else 0, PIECE):
+            out[a : a + PIECE] = self._find(x[a : a + PIECE])
+        return out
+
+    def _find(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), -1, dtype=np.int64)
         top = (x >> np.uint64(self.bits)).astype(np.int64)
         inside = np.flatnonzero((x >> np.uint64(self.bits)) <= np.uint64(self.top))
         top, want = top[inside], x[inside] & np.uint64((1 << self.bits) - 1)
@@ -155,8 +159,13 @@ class EliasFano:
         low = start - top
         long = np.flatnonzero(run == 64)
         run[long] = self._zero(top[long]) - start[long]
-        end = low + run
-        high, open_ = end.copy(), np.flatnonzero(run)
+        some = np.flatnonzero(run)
+        first = _unpack(self.low, self.bits, low[some])  # most runs are of one or two
+        hit = some[first == want[some]]
+        out[inside[hit]] = low[hit]
+        open_ = some[(first < want[some]) & (run[some] > 1)]
+        low, end, want, inside = low[open_] + 1, (low + run)[open_], want[open_], inside[open_]
+        high, open_ = end.copy(), np.arange(len(low))
         while len(open_):
             middle = (low[open_] + high[open_]) >> 1
             less = _unpack(self.low, self.bits, middle) < want[open_]
@@ -188,6 +197,22 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
 
 
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values in order, and the rank of each value among them, by a hash table."""
+    found = pa.array(x).dictionary_encode()
+    values, of = found.dictionary.to_numpy(), found.indices.to_numpy()
+    order = np.argsort(values)
+    rank = np.empty(len(values), dtype=np.int32)
+    rank[order] = np.arange(len(values), dtype=np.int32)
+    return values[order], rank[of]
+
+
+def _runs_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value and the length of each run of equal neighbours."""
+    first = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 def _dense(x: np.ndarray) -> np.ndarray:
     """The rank of each value among the distinct ones."""
     return np.searchsorted(_distinct(x), x)
@@ -203,6 +228,16 @@ def widened(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def squeezed(data: bytes) -> bytes:
+    """A piece of a message, entropy-coded: its length, then the compressed bytes."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def opened(column: pa.ChunkedArray) -> list[bytes | None]:
+    """The pieces of a column that were ``squeezed``."""
+    return [None if x is None else pa.decompress(memoryview(x)[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True) for x in column.to_pylist()]
+
+
 # --- The trie -------------------------------------------------------------------------------
 
 
@@ -243,7 +278,7 @@ def build_trie(context: np.ndarray, follower: np.ndarray, count: np.ndarray, tot
     """A shard's block from distinct pairs of hashes with their counts (all above 0) and their context's count."""
     words = np.unique(np.concatenate((context, follower)))
     of, to = np.searchsorted(words, context), np.searchsorted(words, follower)
-    order = np.lexsort((to, of))
+    order = np.argsort(of * len(words) + to, kind="stable")
     of, to = of[order], to[order]
     contexts, first = np.unique(of, return_index=True)
     rank = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(of))))
@@ -313,7 +348,8 @@ class Level(_Mapped):
         out = np.full(len(rank), UNSEEN, dtype="<u2")
         for a in range(0, len(rank), PIECE):
             known = a + np.flatnonzero((rank[a : a + PIECE] >= 0) & (place[a : a + PIECE] >= 0))
-            at = self.children.find(self.starts.values(rank[known]) + place[known].astype(np.uint64))
+            ranks, times = _runs_of(rank[known])
+            at = self.children.find(np.repeat(self.starts.values(ranks), times) + place[known].astype(np.uint64))
             out[known[at >= 0]] = self.codes[at[at >= 0]]
         return out
 
@@ -342,9 +378,11 @@ class Places:
         reach, place = np.zeros(len(keys), dtype=np.int32), np.full(len(keys), -1, dtype=np.int32)
         for a in range(0, len(keys) if self.last.n else 0, PIECE):
             some = slice(a, a + PIECE)
-            rank, at = self.last.find(keys[some] // self.bound), self.keys.find(keys[some])
+            words, times = _runs_of(keys[some] // self.bound)
+            rank, at = self.last.find(words), self.keys.find(keys[some])
             start, end = (self.first.values(np.maximum(rank, 0) + i).astype(np.int64) for i in (0, 1))
-            reach[some], place[some] = np.where(rank >= 0, end - start, 0), np.where(at >= 0, at - start, -1)
+            reach[some] = np.repeat(np.where(rank >= 0, end - start, 0), times)
+            place[some] = np.where(at >= 0, at - np.repeat(start, times), -1)
         return reach[of], place[of]
 
 
@@ -409,7 +447,7 @@ def share(codes: np.ndarray) -> np.ndarray:
 # --- The corpus -----------------------------------------------------------------------------
 
 
-def _tokens(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(texts: list[bytes], chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of the texts in order, each text closed by END, and the tokens of each text."""
     hashes, counts, at = [], [], 0
     while at < len(texts):
@@ -466,7 +504,7 @@ class _Part:
         tokens, self.counts = _tokens(texts)
         del texts
         self.ends = np.cumsum(self.counts)
-        self.words, self.token = np.unique(np.append(tokens, START), return_inverse=True)
+        self.words, self.token = _numbered(np.append(tokens, START))
         self.token, start = self.token[:-1].astype(np.int32), int(self.token[-1])
         self.train = np.repeat(~held, self.counts)
         self.word_counts = np.bincount(self.token[self.train], minlength=len(self.words))
@@ -479,7 +517,7 @@ class _Part:
     def receive(self, counted: pa.Table, order: int) -> None:
         """Corpus counts and ids of the part's words, and the corpus totals, from every shard; then the n-grams."""
         self.corpus, self.ids = np.zeros(len(self.words), dtype=np.int64), np.zeros(len(self.words), dtype=np.int32)
-        for shard, counts, ranks in zip(*(counted[c].to_pylist() for c in ("shard", "counts", "ranks"))):
+        for shard, counts, ranks in zip(counted["shard"].to_pylist(), opened(counted["counts"]), opened(counted["ranks"])):
             own = self.of_shard[shard]
             self.corpus[own], self.ids[own] = widened(counts), unpack_sorted(ranks) * self.shards + shard
         self.n, self.v = (int(sum(counted[c].to_pylist())) for c in ("n", "v"))
@@ -519,13 +557,15 @@ class _Part:
             prefix, follower, gram, counts = self._grams(lower[at - 1], self.token[at], at)
             if k == 3:
                 early, late, oldest = self.context[prefix], self.follower[prefix], self.context
+                context = late, early
                 shard = (mixed(mixed(self.words[early]) + self.words[late]) % np.uint64(self.shards)).astype(np.int32)
                 key = self.ids[late].astype(np.int64) * self.bound + self.ids[early]
             else:
                 suffix = np.empty(len(prefix), dtype=np.int32)
                 suffix[gram] = lower[at]
                 oldest = oldest[self.levels[-1]["prefix"]]
-                shard, key = shorter["shard"][suffix], shorter["index"][suffix].astype(np.int64) * self.bound + self.ids[oldest[prefix]]
+                context = (oldest[prefix],)
+                shard, key = shorter["shard"][suffix], shorter["index"][suffix].astype(np.int64) * self.bound + self.ids[context[0]]
             # N-grams come by prefix, which is the context: contexts are numbered by shard and key, then followers ordered in each.
             first_gram = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1])[: len(prefix)])
             number = np.empty(len(first_gram), dtype=np.int32)
@@ -535,14 +575,14 @@ class _Part:
             cuts = self._cut(by, shard)
             starts = np.array([of[c[0]] if len(c) else 0 for c in cuts], dtype=np.int32)
             shorter = {"shard": shard, "index": of - starts[shard]}
-            self.levels.append({"at": at, "gram": gram, "prefix": prefix, "follower": follower, "counts": counts, "key": key, "index": shorter["index"], "sent": cuts})
+            self.levels.append({"at": at, "gram": gram, "prefix": prefix, "follower": follower, "counts": counts, "key": key, "context": context, "index": shorter["index"], "sent": cuts})
             full = np.full(len(self.token), -1, dtype=np.int32)
             full[at] = gram
             lower = full
 
     def _grams(self, prefix: np.ndarray, follower: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct n-grams as prefix and follower; the n-gram at each position; counts in training documents."""
-        keys, gram = np.unique(prefix.astype(np.int64) * len(self.words) + follower, return_inverse=True)
+        keys, gram = np.unique(prefix.astype(np.int64) * len(self.words) + follower, return_inverse=True)  # most are distinct: a sort is faster
         gram = gram.astype(np.int32)  # a part has fewer tokens than that
         counts = np.bincount(gram[self.train[at]], minlength=len(keys)).astype(np.int32)
         return *(x.astype(np.int32) for x in np.divmod(keys, max(1, len(self.words)))), gram, counts
@@ -554,33 +594,42 @@ class _Part:
     def contexts_of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
         """The distinct contexts that a shard is sent, by id, and the index among them of each pair's context."""
         contexts = self.asked[shard]
-        return contexts, np.searchsorted(self.ids[contexts], self.ids[self.context[self.sent[shard]]])
-
-    def names_of(self, shard: int) -> np.ndarray:
-        """The ids of all words in what a shard is sent, in order: its message numbers words by their place here."""
-        words = [self.asked[shard], self.follower[self.sent[shard]]]
+        place = np.empty(len(self.words), dtype=np.int32)
+        place[contexts] = np.arange(len(contexts), dtype=np.int32)
+        return contexts, place[self.context[self.sent[shard]]]
+
+    def names_of(self, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in what a shard is sent, in order, and the place among them of each of the part's words that is."""
+        seen = np.zeros(len(self.words), dtype=bool)
+        seen[self.asked[shard]] = True
+        seen[self.follower[self.sent[shard]]] = True
         for level in self.levels:
-            words.append(level["follower"][level["sent"][shard]])
-        ids = [self.ids[w] for w in words]
-        for i, level in enumerate(self.levels):
-            ids += [x.astype(np.int32) for x in np.divmod(level["key"][level["sent"][shard]], self.bound)[i > 0 :]]
-        return _distinct(np.concatenate(ids))
-
-    def levels_of(self, shard: int, names: np.ndarray) -> list[bytes]:
+            for words in (level["follower"], *level["context"]):
+                seen[words[level["sent"][shard]]] = True
+        words = np.flatnonzero(seen)
+        words = words[np.argsort(self.ids[words])]
+        place = np.zeros(len(self.words), dtype=np.int32)
+        place[words] = np.arange(len(words), dtype=np.int32)
+        return self.ids[words], place
+
+    def levels_of(self, shard: int, names: np.ndarray, place: np.ndarray) -> list[bytes]:
         """What a shard is sent of the levels above pairs, as ``answer_levels`` reads it."""
-        out, place = [], lambda ids: np.searchsorted(names, ids.astype(np.int32))
+        out = []
         for i, level in enumerate(self.levels):
             at = level["sent"][shard]
-            index = level["index"][at]
+            index = level["index"][at].astype(np.int64)
             fresh = np.ones(len(at), dtype=bool)
             fresh[1:] = index[1:] != index[:-1]
-            old, new = np.divmod(level["key"][at[fresh]], self.bound)
-            keys = (old if i else place(old)) * len(names) + place(new)
-            out += [pack_sorted(keys), pack_sorted(index.astype(np.int64) * len(names) + place(self.ids[level["follower"][at]])), narrow(level["counts"][at])]
+            first = at[fresh]
+            old = level["key"][first] // self.bound if i else place[level["context"][0][first]].astype(np.int64)
+            keys = old * len(names) + place[level["context"][-1][first]]
+            out += [pack_sorted(keys), pack_sorted(index * len(names) + place[level["follower"][at]]), narrow(level["counts"][at])]
         return out
 
 
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    """The rows as a table, all binary values squeezed."""
+    rows = [tuple(squeezed(x) if isinstance(x, bytes) else x for x in row) for row in rows] if pa.binary() in schema.types else rows
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
 
@@ -607,8 +656,8 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1, ord
     counted_ddl = "part int, shard int, counts binary, ranks binary, size long, n long, v long, shares binary, followers binary, levels binary"
 
     def count_words(table: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x, dtype=np.uint64) for x in table["words"].to_pylist()]
-        counts = np.concatenate([widened(x) for x in table["counts"].to_pylist()])
+        lists = [np.frombuffer(x, dtype=np.uint64) for x in opened(table["words"])]
+        counts = np.concatenate([widened(x) for x in opened(table["counts"])])
         words, of = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.zeros(len(words), dtype=np.int64)
         np.add.at(total, of, counts)
@@ -627,38 +676,38 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1, ord
         own.receive(counted, order)
         for s, at in enumerate(own.sent):
             contexts, of = own.contexts_of(s)
-            names = own.names_of(s)
-            pairs = pack_sorted(of * len(names) + np.searchsorted(names, own.ids[own.follower[at]]))
-            out.append((s, part, own.bound, pack_sorted(names), pack_sorted(np.searchsorted(names, own.ids[contexts])), narrow(own.totals[contexts]), pairs, narrow(own.pair_counts[at]), _joined(own.levels_of(s, names))))
+            names, place = own.names_of(s)
+            pairs = pack_sorted(of.astype(np.int64) * len(names) + place[own.follower[at]])
+            out.append((s, part, own.bound, pack_sorted(names), pack_sorted(place[contexts]), narrow(own.totals[contexts]), pairs, narrow(own.pair_counts[at]), _joined(own.levels_of(s, names, place))))
         return _rows(out, pairs_schema)
 
     def answer(table: pa.Table) -> pa.Table:
         """Build the shard's trie from the training counts of all parts, then look up each part's n-grams in it."""
         bound = table["bound"][0].as_py()
-        names = [unpack_sorted(x) for x in table["names"].to_pylist()]
-        contexts = [unpack_sorted(x) for x in table["contexts"].to_pylist()]
-        pairs = [np.divmod(unpack_sorted(x), max(1, len(ids))) for x, ids in zip(table["pairs"].to_pylist(), names)]
-        context = np.concatenate([ids[c][of] for ids, c, (of, _) in zip(names, contexts, pairs)])
-        follower = np.concatenate([ids[to] for ids, (_, to) in zip(names, pairs)])
-        count = np.concatenate([widened(x) for x in table["counts"].to_pylist()])
-        total = np.concatenate([widened(x)[of] for x, (of, _) in zip(table["totals"].to_pylist(), pairs)])
-        trained = count > 0
-        context, follower, count, total = context[trained], follower[trained], count[trained], total[trained]
-        by = np.lexsort((follower, context))
-        context, follower, count, total = context[by], follower[by], count[by], total[by]
-        first = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (follower[1:] != follower[:-1])))) if len(context) else np.array([], dtype=np.int64)
-        sums = np.add.reduceat(count, first) if len(first) else count
-        trie = Trie.mapped(build_trie(context[first].astype(np.uint64), follower[first].astype(np.uint64), sums, total[first]))
+        names = [unpack_sorted(x) for x in opened(table["names"])]
+        contexts = [unpack_sorted(x) for x in opened(table["contexts"])]
+        pairs = [np.divmod(unpack_sorted(x), max(1, len(ids))) for x, ids in zip(opened(table["pairs"]), names)]
+        key = np.concatenate([ids[c][of] * bound + ids[to] for ids, c, (of, to) in zip(names, contexts, pairs)])
+        count = np.concatenate([widened(x) for x in opened(table["counts"])])
+        total = np.concatenate([widened(x)[of] for x, (of, _) in zip(opened(table["totals"]), pairs)])
+        cuts = np.cumsum([len(of) for of, _ in pairs])[:-1]
+        del pairs
+        key, at = np.unique(key, return_inverse=True)  # a pair that many parts have is looked up once
+        sums = np.bincount(at, count, len(key)).astype(np.int64)
+        of_key = np.zeros(len(key), dtype=np.int64)
+        of_key[at] = total
+        trained = sums > 0
+        context, follower = np.divmod(key.astype(np.uint64), np.uint64(max(1, bound)))
+        trie = Trie.mapped(build_trie(context[trained], follower[trained], sums[trained], of_key[trained]))
+        del count, total, sums, of_key, trained, key
+        runs, times = _runs_of(context)
+        shares = np.split(trie.shares(np.repeat(trie.rank(trie.words.find(runs)), times), trie.words.find(follower))[at], cuts)
+        del context, follower, at
+        found = [(x.tobytes(), narrow(trie.reach(trie.rank(trie.words.find(ids[c]))))) for x, ids, c in zip(shares, names, contexts)]
         shard = table["shard"][0].as_py()
-        del context, follower, count, total, by, trained, sums
-        found = []
-        for ids, of_names, (of, to) in zip(names, contexts, pairs):
-            word = trie.words.find(ids)
-            rank = trie.rank(word[of_names])
-            found.append((trie.shares(rank[of], word[to]).tobytes(), narrow(trie.reach(rank))))
-        del contexts, pairs, trie
+        del contexts, shares, trie
         trim()
-        levels = answer_levels([_split(x) for x in table["levels"].to_pylist()], names, bound)
+        levels = answer_levels([_split(x) for x in opened(table["levels"])], names, bound)
         out = [(p, shard, None, None, None, None, None, *pairs, above) for p, pairs, above in zip(table["part"].to_pylist(), found, levels)]
         return _rows(out, counted_schema)
 
@@ -673,7 +722,7 @@ def score_documents(docs: DataFrame, folds: int = 10, extra_shards: int = 1, ord
         codes, distinct = np.full(len(own.context), UNSEEN, dtype="<u2"), np.zeros(len(own.words))
         answers = sent.filter(pa.array(~kind.to_numpy(zero_copy_only=False)))
         above = [(np.full(len(x["key"]), UNSEEN, dtype="<u2"), np.full(len(x["key"]), UNSEEN, dtype="<u2")) for x in own.levels]
-        for s, found, after, deep in zip(*(answers[c].to_pylist() for c in ("shard", "shares", "followers", "levels"))):
+        for s, found, after, deep in zip(answers["shard"].to_pylist(), *(opened(answers[c]) for c in ("shares", "followers", "levels"))):
             codes[own.sent[s]] = np.frombuffer(found, dtype="<u2")
             contexts, _ = own.contexts_of(s)
             distinct[contexts] += widened(after)

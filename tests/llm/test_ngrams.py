@@ -4,11 +4,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from larkspur.llm.ngrams import CODE_STEP, DISCOUNT, EliasFano, Trie, build_trie, narrow, pack_sorted, score_documents, share, unpack_sorted, widened
+from larkspur.llm.ngrams import CODE_STEP, DISCOUNT, EliasFano, Places, Trie, build_trie, narrow, opened, pack_sorted, score_documents, share, squeezed, unpack_sorted, widened
 
 
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=60), st.integers(0, 60), st.lists(st.integers(0, 2**64 - 1), max_size=20))
@@ -172,3 +173,20 @@ def test_sequences_that_travel(values, shift):
 def test_followers_of_a_spread_context_are_counted_on_all_its_shards(documents):
     rows = [(d, f"a w{d}") for d in range(9)]
     compare(score_documents(documents(rows)).collect(), brute(rows))
+
+
+def test_a_word_is_looked_up_once_for_all_its_followers(monkeypatch):
+    places, asked = Places(np.array([31, 32, 35, 42]), 10), []
+    find = places.last.find
+    monkeypatch.setattr(places.last, "find", lambda x: (asked.extend(x.tolist()), find(x))[1])
+    reach, place = places.of(np.array([3, 3, 3, 4, 5]), np.array([1, 5, 7, 2, 1]))
+    assert reach.tolist() == [3, 3, 3, 1, 0] and place.tolist() == [0, 2, -1, 0, -1]
+    assert asked == [3, 4, 5]
+
+
+def test_pieces_of_messages_are_entropy_coded():
+    codes = np.where(np.random.default_rng(5).random(10_000) < 0.9, 512, 4096).astype("<u2").tobytes()
+    pieces = [codes, b"", None, b"x"]
+    column = pa.chunked_array([pa.array([None if p is None else squeezed(p) for p in pieces], pa.binary())])
+    assert opened(column) == pieces
+    assert len(squeezed(codes)) < len(codes) / 8  # 0.47 bits of entropy in each 16
