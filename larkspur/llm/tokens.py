@@ -12,6 +12,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import kept
 
@@ -62,32 +64,55 @@ class WordCoder:
                 others += letters
         self.new.update(zip(others, self._whole(others)))
 
-    def _cover(self, words: set[str]) -> None:
-        """Bring all of ``words`` into the newer generation."""
+    def _cover(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, all of which are brought into the newer generation."""
         if len(self.new) > self.capacity:
             self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        out = list(map(new.get, words))
         missing = []
-        for w in words.difference(self.new):
-            if w in self.old:
-                self.new[w] = self.old[w]
-            else:
-                missing.append(w)
+        for i, w in enumerate(words):
+            if out[i] is None:
+                known = old.get(w)
+                if known is None:
+                    missing.append(i)
+                else:
+                    out[i] = new[w] = known
         if not missing:
-            return
-        split = {}
-        for w in missing:
+            return out
+        units, stems, tails = {}, [], []
+        for i in missing:
+            w = words[i]
             stem = w.rstrip(_TAIL)
-            split[w] = (stem.lower() if stem.isascii() else stem, w[len(stem) :]) if stem.isalpha() else (w, "")
-        units = {p for pair in split.values() for p in pair if p}
-        for p in units:
-            if p not in self.new and p in self.old:
-                self.new[p] = self.old[p]
-        self._learn([p for p in units if p not in self.new])
-        for w, (stem, tail) in split.items():
-            self.new[w] = self.new[stem] + (self.new[tail] if tail else b"")
+            if stem.isalpha():
+                tail = w[len(stem) :]
+                stem = stem.lower() if stem.isascii() else stem
+                if tail:
+                    units[tail] = None
+            else:
+                stem, tail = w, ""
+            units[stem] = None
+            stems.append(stem)
+            tails.append(tail)
+        self._learn([p for p in units if p not in new and new.setdefault(p, old.get(p)) is None])
+        for i, stem, tail in zip(missing, stems, tails):
+            out[i] = new[words[i]] = new[stem] + new[tail] if tail else new[stem]
+        return out
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         odd = [bool(text and _ODD.search(text)) for text in texts]
-        words = [[] if o or not text else text.split() for text, o in zip(texts, odd)]
-        self._cover(set().union(*words))
-        return [self._whole([text])[0] if o else b"".join(map(self.new.__getitem__, w)) for text, w, o in zip(texts, words, odd)]
+        lists = pc.utf8_split_whitespace(pa.array(["" if o else text or "" for text, o in zip(texts, odd)], pa.string()))
+        found = lists.flatten().dictionary_encode()
+        words = found.dictionary.to_pylist()
+        known = self._cover([w for w in words if w])
+        if len(known) < len(words):  # a text's outer white space leaves an empty word
+            known.insert(words.index(""), b"")
+        # Each word's ids lie in one array: a text's are gathered from it, word after word.
+        size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        word = found.indices.to_numpy()
+        times = size[word]
+        ends = np.concatenate(([0], np.cumsum(times)))
+        place = np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[word] - ends[:-1], times)
+        data = np.frombuffer(b"".join(known), dtype="<u4")[place].tobytes()
+        bounds = (ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * 4).tolist()
+        return [self._whole([text])[0] if o else data[a:b] for text, o, a, b in zip(texts, odd, bounds, bounds[1:])]

@@ -110,3 +110,9 @@ def test_separator_scan_alone(spark):
     df = spark.createDataFrame([(0, i, bytearray(np.array(b, "<u2").tobytes())) for i, b in enumerate(blocks)], "stream int, block long, ids binary")
     assert sorted((r["ordinal"], r["n_tokens"]) for r in count_tokens(df).collect()) == [(0, 6), (1, 0), (2, 2), (3, 1)]
     assert token_stream(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_distinct_words_are_covered_in_one_pass():
+    coder, plain = WordCoder(PATH, capacity=3), Tokenizer.from_file(PATH)
+    for words in (["Aa,", "b", "Aa", "x1!"], ["b", "new", "Aa,"], ["b"], []):
+        assert coder._cover(words) == [np.array(plain.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
