@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -40,6 +41,28 @@ def trim() -> None:
         pass
 
 
+_RESTING = threading.Lock()
+#: Seconds after which a task's last tables are gone.
+REST = 0.5
+
+
+def rest() -> None:
+    """``trim`` now, and once more when the task has let go of its last tables, which outlive its function.
+
+    Arrow takes memory from the C library from here on: its own pool gives back only what the calling thread has freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    trim()
+    if _RESTING.acquire(blocking=False):
+
+        def again() -> None:
+            _RESTING.release()
+            trim()
+
+        timer = threading.Timer(REST, again)
+        timer.daemon = True
+        timer.start()
+
+
 _KEPT: list[dict] = []
 
 
@@ -58,12 +81,12 @@ def release(own: dict | None = None) -> None:
 
 
 def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``work`` over batches, which releases what others keep before it starts and trims its worker when it ends."""
+    """``work`` over batches, which releases what others keep before it starts and lets its worker rest when it ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         yield from work(batches)
-        trim()
+        rest()
 
     return run
 

@@ -116,9 +116,9 @@ def _places(bins: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarra
 def ranked(df: DataFrame, by: str, counts: dict[int, int], ties: list[str], rows: int) -> DataFrame:
     """``rank``: 0.. within each value of ``by``, whose ``counts`` are known; a value is dealt over tasks of about ``rows`` each."""
     spark = df.sparkSession
-    cuts = [(k, -(-n // rows)) for k, n in counts.items()]
-    few = F.broadcast if sum(b for _, b in cuts) <= MOST_STARTS else (lambda side: side)
-    dealt = df.join(F.broadcast(spark.createDataFrame(cuts, f"{by} long, __of int")), by) if cuts else df.withColumn("__of", F.lit(1))
+    cuts = pa.table({by: pa.array(counts.keys(), pa.int64()), "__of": pa.array((-(-n // rows) for n in counts.values()), pa.int32())})  # as Arrow: a list would start Python workers of another kind on every executor
+    few = F.broadcast if sum(cuts["__of"].to_pylist()) <= MOST_STARTS else (lambda side: side)
+    dealt = df.join(F.broadcast(spark.createDataFrame(cuts)), by) if counts else df.withColumn("__of", F.lit(1))
     dealt = dealt.withColumn("__b", F.pmod(F.xxhash64(*ties), F.col("__of")).cast("int")).drop("__of")
     sizes = dealt.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select(F.col(by), F.col("__b"), (F.sum("__n").over(W.partitionBy(by).orderBy("__b")) - F.col("__n")).alias("__s"))

@@ -34,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, text_or_empty, text_parts, trim
+from .common import release, rest, text_or_empty, text_parts
 from .shingles import BASE, VALUES, mixed, powers
 
 LENGTH = 50
 GRAM = 24
 BATCH_STRINGS = 250_000
 #: Bytes hashed at once; the arrays over them are many times as large.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 #: Suffixes compared at once.
 PIECE = 1 << 15
 
@@ -193,7 +193,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
         codes, rows = [], []
         for _, hashes, _, _, text, _ in _segments(own[: sum(i is not None for i in ids)], length, gram):
             codes.append(_codes(hashes, n_buckets))
-            rows.append(text)
+            rows.append(text.astype(np.int32))
         out = []
         if codes:
             codes, rows = np.concatenate(codes), np.concatenate(rows)
@@ -205,7 +205,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
             bounds = np.searchsorted(codes >> np.uint64(32), np.arange(n_buckets + 1, dtype=np.uint64))
             short = codes.astype(np.uint32)
             out = [(b, table["part"][0].as_py(), short[i:j].tobytes(), short[i:j][again[i:j]].tobytes()) for b, (i, j) in enumerate(zip(bounds, bounds[1:])) if j > i]
-        trim()
+        rest()
         kinds = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("codes", pa.binary()), ("again", pa.binary())])
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds.types)] if out else [pa.array([], t) for t in kinds.types], schema=kinds)
 
@@ -252,7 +252,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
             if matched:
                 rows, starts, sizes = np.frombuffer(matched, dtype=np.int64).reshape(-1, 3).T
                 out.append((1, part % n_buckets, part, _ints(rows), b"", _ints(starts), _ints(sizes), b""))
-            trim()
+            rest()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _SENT.types)] if out else [pa.array([], t) for t in _SENT.types], schema=_SENT)
 
     found_schema = pa.schema([("part", pa.int32()), ("row", pa.binary()), ("start", pa.binary()), ("size", pa.binary())])
@@ -294,7 +294,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
             spans = list(zip(edges, np.append(edges[1:], len(part))))
             columns = [[int(part[i]) for i, _ in spans], *([_ints(x[i:j]) for i, j in spans] for x in (row, start, size))]
             results.append(pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, found_schema.types)], schema=found_schema))
-        trim()
+        rest()
         return pa.concat_tables([r.cast(found_schema) for r in results])
 
     result = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + ([("kept_text", pa.string())] if carry else [])
@@ -319,7 +319,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, carry:
                 left = b"".join(text[x:y] for x, y in zip([0, *ends.tolist()], [*begins.tolist(), len(text)]))
             out.append((ids[i], len(text), removed, spans, hashlib.sha256(left).hexdigest(), *([left.decode("utf-8", "ignore").encode()] if carry else [])))
         columns = [pa.array(c, t) for c, (_, t) in zip(zip(*out), result)] if out else [pa.array([], t) for _, t in result]
-        trim()
+        rest()
         names = [n for n, _ in result]
         if carry:
             held = table["carried"].combine_chunks().take(pa.array(order))

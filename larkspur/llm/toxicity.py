@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, kept, release, text_or_empty, trim
+from .common import checkpointed, fresh, kept, release, rest, text_or_empty
 
 DECAY = 0.6
 REACH = 6
@@ -337,7 +337,7 @@ def toxicity(docs: DataFrame, model: Model | None, capacity: int = 100_000, name
                 for i, ws in enumerate(words):
                     tops[at + i] = two_highest(ws, new)
             yield pd.Series(model.score(tops))
-        trim()
+        rest()
 
     return docs.withColumn(name, scored(text_or_empty()))
 

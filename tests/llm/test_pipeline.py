@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -6,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from larkspur.llm import tokens, toxicity
-from larkspur.llm.common import release
+from larkspur.llm.common import REST, release, rest
 from larkspur.llm.mixing import mix
 from tests.llm.test_jaccard import brute as brute_components
 from tests.llm.test_suffixes import brute as brute_removed
@@ -72,3 +73,21 @@ def test_a_worker_keeps_the_cache_of_one_operator():
     assert list(toxicity._CACHE) == ["model"] and not tokens._CODERS
     release()
     assert not toxicity._CACHE
+
+
+def _resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096
+
+
+def test_a_worker_at_rest_gives_back_what_outlived_its_task():
+    def task():
+        held = [bytes([i % 256]) * 20_000 for i in range(4000)]
+        rest()
+        return held
+
+    held = task()
+    full = _resident()
+    del held[:-1]  # the last keeps the heap from shrinking by itself
+    time.sleep(REST + 1)
+    assert full - _resident() > 40_000_000

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from larkspur.llm.packing import minimum_bin_slack, pack
+from larkspur.llm.packing import minimum_bin_slack, pack, ranked
 from larkspur.llm.separators import SEPARATOR, count_tokens, token_counts, token_stream
 from larkspur.llm.tokens import WordCoder
 
@@ -116,3 +116,10 @@ def test_distinct_words_are_covered_in_one_pass():
     coder, plain = WordCoder(PATH, capacity=3), Tokenizer.from_file(PATH)
     for words in (["Aa,", "b", "Aa", "x1!"], ["b", "new", "Aa,"], ["b"], []):
         assert coder._cover(words) == [np.array(plain.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words]
+
+
+def test_ranks_start_no_python_worker(spark):
+    df = spark.range(1, 4).selectExpr("id as doc_id", "if(id < 3, 5L, 7L) as length")
+    out = ranked(df, "length", {5: 2, 7: 1}, ["doc_id"], 1)
+    assert sorted((r["length"], r["rank"]) for r in out.collect()) == [(5, 0), (5, 1), (7, 0)]
+    assert "ExistingRDD" not in out._jdf.queryExecution().toString()
